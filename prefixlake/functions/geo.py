@@ -108,12 +108,14 @@ def lat_band(lat: Column, meters: float) -> Column:
 def lon_step(band: Column, meters: float) -> Column:
     """Cell width in degrees for a latitude band: depends on the band only.
 
-    Near the poles (above 85 degrees) a band is one single cell, which is always lossless.
+    It is the largest longitude gap two points can have within ``meters`` when both lie in
+    the band or next to it. Above 85 degrees a band is one single cell, always lossless.
     """
     size = F.lit(meters / METERS_PER_DEGREE)
-    edge = F.greatest(F.abs(band * size), F.abs((band + 1) * size))
-    wide = size / F.cos(F.radians(F.least(edge, F.lit(85.0))))
-    return F.when(edge > 85.0, F.lit(360.0)).otherwise(F.least(wide, F.lit(360.0)))
+    edge = F.greatest(F.abs(band * size), F.abs((band + 1) * size)) + size
+    ratio = F.lit(math.sin(meters / EARTH_RADIUS_M / 2.0)) / F.cos(F.radians(F.least(edge, F.lit(85.0))))
+    wide = F.degrees(2.0 * F.asin(F.least(ratio, F.lit(1.0))))
+    return F.when(edge > 85.0, F.lit(360.0)).otherwise(F.greatest(wide, size))
 
 
 def lon_cell(lon: Column, band: Column, meters: float) -> Column:

@@ -48,7 +48,11 @@ def fuzzy_includes(h: Column, n: Column, h_words: Column | None = None) -> Colum
     significant = F.filter(F.split(n, " "), lambda t: F.length(t) >= 3)
 
     def near(token: Column) -> Column:
-        same_start = lambda w: (F.left(w, F.lit(1)) == F.left(token, F.lit(1))) & edit_within(w, token, 1)
+        same_start = lambda w: (
+            (F.left(w, F.lit(1)) == F.left(token, F.lit(1)))
+            & (F.abs(F.length(w) - F.length(token)) <= 1)
+            & edit_within(w, token, 1)
+        )
         return (
             F.when(F.length(token) <= 3, F.exists(h_words, lambda w: F.startswith(w, token)))
             .otherwise(F.contains(h, token) | F.exists(h_words, same_start))
@@ -63,49 +67,75 @@ def fuzzy_includes(h: Column, n: Column, h_words: Column | None = None) -> Colum
     )
 
 
-def prefix_phrase_match(h_words: Column, q_words: Column) -> Column:
-    """Some run of consecutive haystack tokens starts with the query tokens in order."""
+def prefix_phrase_match(h: Column, q: Column, h_words: Column | None = None) -> Column:
+    """Some run of consecutive haystack tokens starts with the query tokens in order.
+
+    A plain substring test rules most pairs out before any token is compared; for one-word
+    queries it is the whole answer.
+    """
+    h_words = words(h) if h_words is None else h_words
+    q_words = words(q)
+    head = F.concat(F.lit(" "), F.element_at(q_words, 1))
     last = F.size(h_words) - F.size(q_words)
-    hit = F.exists(
+    run = F.exists(
         F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
         lambda s: F.forall(
             F.sequence(F.lit(0), F.size(q_words) - 1),
             lambda i: F.startswith(F.get(h_words, s + i), F.get(q_words, i)),
         ),
     )
-    return F.when((F.size(q_words) == 0) | (last < 0), F.lit(False)).otherwise(hit)
+    return (
+        F.when(q == "", F.lit(False))
+        .when(~F.contains(F.concat(F.lit(" "), h), head), F.lit(False))
+        .when(~F.contains(q, F.lit(" ")), F.lit(True))
+        .when(last < 0, F.lit(False))
+        .otherwise(run)
+    )
 
 
-def compact_cross_prefix(h_words: Column, compact_q: Column) -> Column:
+def compact_cross_prefix(h: Column, compact_q: Column, h_words: Column | None = None) -> Column:
     """The compact query starts at a token and runs over at least one token boundary."""
+    h_words = words(h) if h_words is None else h_words
     count = F.size(h_words)
     hit = F.exists(
         F.sequence(F.lit(0), F.greatest(count - 2, F.lit(0))),
         lambda s: (F.length(compact_q) > F.length(F.get(h_words, s)))
         & F.startswith(F.array_join(F.slice(h_words, s + 1, count), ""), compact_q),
     )
-    return F.when((F.length(compact_q) < 3) | (count < 2), F.lit(False)).otherwise(hit)
+    return (
+        F.when(F.length(compact_q) < 3, F.lit(False))
+        .when(~F.contains(squash(h), compact_q), F.lit(False))
+        .when(count < 2, F.lit(False))
+        .otherwise(hit)
+    )
 
 
-def query_matches(h: Column, norm: Column, expanded: Column, tokens: Column) -> Column:
+def query_matches(
+    h: Column, norm: Column, expanded: Column, tokens: Column, h_words: Column | None = None
+) -> Column:
     """The catalog match test: any of the four text rules, on either form of the query."""
-    h_words, norm_words, expanded_words = words(h), words(norm), words(expanded)
+    h_words = words(h) if h_words is None else h_words
+    norm_words = words(norm)
     short_tail = (
         (F.size(norm_words) > 1)
         & (F.length(F.element_at(norm_words, -1)) < 3)
         & (norm == expanded)
     )
-    by_prefix = prefix_phrase_match(h_words, norm_words)
+    one_form = lambda q: (
+        fuzzy_includes(h, q, h_words)
+        | prefix_phrase_match(h, q, h_words)
+        | compact_cross_prefix(h, squash(q), h_words)
+    )
     any_rule = (
-        by_prefix
-        | prefix_phrase_match(h_words, expanded_words)
-        | compact_cross_prefix(h_words, squash(norm))
-        | compact_cross_prefix(h_words, squash(expanded))
-        | fuzzy_includes(h, norm, h_words)
-        | fuzzy_includes(h, expanded, h_words)
+        one_form(norm)
+        | ((norm != expanded) & one_form(expanded))
         | token_fallback(h, tokens, h_words)
     )
-    return F.when(h == "", F.lit(False)).when(short_tail, by_prefix).otherwise(any_rule)
+    return (
+        F.when(h == "", F.lit(False))
+        .when(short_tail, prefix_phrase_match(h, norm, h_words))
+        .otherwise(any_rule)
+    )
 
 
 def significant_tokens_every(query: Column, h: Column) -> Column:
@@ -122,14 +152,14 @@ def template_match(query: Column, trigger: Column) -> Column:
     """Does a trigger phrase fire for the query text (both normalized)?"""
     q_words, t_words = words(query), words(trigger)
     unique = F.array_distinct(q_words)
-    joined = compact_cross_prefix(t_words, squash(query)) | (
-        (F.size(unique) == 1) & compact_cross_prefix(t_words, F.get(unique, F.lit(0)))
+    joined = compact_cross_prefix(trigger, squash(query), t_words) | (
+        (F.size(unique) == 1) & compact_cross_prefix(trigger, F.get(unique, F.lit(0)), t_words)
     )
     blocked = (F.size(q_words) < 2) & (F.size(t_words) > 1)
     has_short = F.exists(t_words, lambda t: F.length(t) <= 2)
     loose = (
-        prefix_phrase_match(t_words, q_words)
-        | prefix_phrase_match(q_words, t_words)
+        prefix_phrase_match(trigger, query, t_words)
+        | prefix_phrase_match(query, trigger, q_words)
         | (~has_short & fuzzy_includes(query, trigger, q_words))
         | significant_tokens_every(query, trigger)
     )
@@ -268,11 +298,11 @@ def poi_suggestion_type(
         words(n_brand),
         lambda b: F.exists(tokens, lambda t: (F.length(t) >= 3) & F.startswith(b, t)),
     )
-    full = words(normalize_text(F.concat_ws(" ", name, address)))
+    full = normalize_text(F.concat_ws(" ", name, address))
     return (
         F.when(has_any(expanded, ["gan day", "gan nhat"]), F.lit("Nearby Search"))
         .when(has_any(expanded, ["gan bien", "24 7", "hoc bai", "an dem"]), F.lit("Discovery Search"))
-        .when(prefix_phrase_match(full, words(norm)), F.lit("Address Suggestion"))
+        .when(prefix_phrase_match(full, norm), F.lit("Address Suggestion"))
         .when(has_any(n_category, ["atm", "cay xang", "benh vien"]), F.lit("Nearby Search"))
         .when((F.coalesce(brand, F.lit("")) != "") & brand_hit, F.lit("Brand Search"))
         .when(F.exists(F.split(n_category, " "), lambda t: F.array_contains(tokens, t)), F.lit("Category Search"))
