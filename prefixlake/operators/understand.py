@@ -17,6 +17,7 @@ from prefixlake.functions.text import (
 )
 from prefixlake.operators.lexicon import Lexicon
 from prefixlake.rules import QUERY_ALIASES
+from prefixlake.session import hold
 
 MAX_RULES = 10_000
 
@@ -211,7 +212,7 @@ def segment_tokens(tokens: DataFrame, lexicon: Lexicon, abbreviations: DataFrame
     """
     asked = tokens.select("token").distinct().filter("length(token) >= 3")
     joined = lexicon.dictionary.filter("kind = 'joined'").select(F.col("key").alias("token"), "value")
-    looked_up = asked.join(joined, "token", "left")
+    looked_up = hold(asked.join(joined, "token", "left"))
     rest = looked_up.filter("value is null").select("token")
     pieces = _pieces(rest)
     digits = F.col("piece").rlike("^[0-9]+$")
@@ -337,9 +338,9 @@ def propose_rewrites(
     asked = queries.select("norm").distinct().filter((F.col("norm") != "") & ~is_coordinate_like(F.col("norm")))
     spelled = asked.select("norm", F.posexplode(words(F.col("norm"))).alias("pos", "token"))
     tokens = spelled.select("token").distinct()
-    decoded = repair_telex(tokens, lexicon)
+    decoded = hold(repair_telex(tokens, lexicon))
     forms = decoded.select(F.explode(F.array_distinct(F.array("token", "decoded"))).alias("token")).distinct()
-    segments = segment_tokens(forms, lexicon, abbreviations)
+    segments = hold(segment_tokens(forms, lexicon, abbreviations))
     word_map = (
         decoded.join(segments.select("token", F.col("segmented").alias("seg_raw")), "token", "left")
         .join(segments.select(F.col("token").alias("decoded"), F.col("segmented").alias("seg_dec")), "decoded", "left")
@@ -362,6 +363,7 @@ def propose_rewrites(
     variants = forms2.select(
         "norm", F.posexplode(F.array_distinct(F.array("raw", "dec"))).alias("slot", "v")
     ).select("norm", "slot", "v.*")
+    variants = hold(variants)
     decided = accept_segmentation(variants.filter("contains(text, ' ')"), lexicon)
     settled = variants.join(decided, "text", "left").withColumn(
         "final",
@@ -417,7 +419,7 @@ def propose_rewrites(
 def understand(requests: DataFrame, lexicon: Lexicon, abbreviations: DataFrame) -> DataFrame:
     """Distinct queries with the best rewrite applied: q, norm, expanded, expansions, tokens."""
     rules = rewrite_rules(abbreviations)
-    base = expand_queries(requests, abbreviations, rules)
+    base = hold(expand_queries(requests, abbreviations, rules))
     best = (
         with_rules(propose_rewrites(base, lexicon, abbreviations, k=1), rules)
         .withColumn("again", expand_column(normalize_text(F.col("rewrite"))))

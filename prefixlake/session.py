@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +26,37 @@ def build_session(app: str = "prefixlake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the shared folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names; make one only for a local session without."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-prefixlake-")
+    context.setCheckpointDir(folder)
 
-    ``spark.checkpoint.dir`` is read from the session. Where a session has none (tests,
-    a laptop) the plan is left whole, which is always correct, only slower.
+
+def hold(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches reuse, and cut its lineage.
+
+    The copy is on shared storage, so a lost executor costs nothing, and later plans start
+    from a leaf instead of repeating the whole tree in every branch.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        spark.sparkContext.setCheckpointDir(folder)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution keep small but CPU-heavy partitions apart."""
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    if spark.conf.get(key, "1048576b").lower() in ("1048576b", "1mb", "1m"):
+        spark.conf.set(key, "32k")
+    return spark
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than it must."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -50,6 +66,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint only behind a row check; a larger side keeps the shuffled join."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
-
-def parallelism() -> int:
-    return int(os.environ.get("PREFIXLAKE_PARALLELISM", "8"))
