@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.match import query_matches, template_match
-from prefixlake.functions.text import deletions, dot_words, grams, longest, squash, words
+from prefixlake.functions.match import query_matches, template_match, token_fallback
+from prefixlake.functions.text import deletions, grams, longest, squash, words
 
 HOT_ROWS = 20_000
 
@@ -153,19 +153,33 @@ def signature_join(left: DataFrame, right: DataFrame, hot_rows: int = HOT_ROWS)
 
 
 def match_values(queries: DataFrame, values: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pairs (norm, expanded, h) for which the catalog value matches the query.
+    """Pairs (norm, expanded, h) with the flags ``full`` and ``fallback``.
 
-    ``queries`` holds norm, expanded and tokens, ``values`` holds h; duplicates are removed
-    before any pair is formed.
+    ``full`` is the whole match test, ``fallback`` its token rule alone (which also holds for
+    some short queries the whole test refuses). ``queries`` holds norm, expanded and tokens,
+    ``values`` holds h; duplicates are removed before any pair is formed.
     """
     left = queries.select("norm", "expanded", "tokens").filter("norm <> ''").distinct()
     left = left.withColumn("sigs", query_signatures(F.col("norm"), F.col("expanded"), F.col("tokens")))
     right = values.select("h").filter("h <> ''").distinct()
     right = right.withColumn("sigs", value_signatures(F.col("h")))
     pairs = signature_join(left, right, hot_rows).dropDuplicates(["norm", "expanded", "h"])
-    return pairs.filter(
-        query_matches(F.col("h"), F.col("norm"), F.col("expanded"), F.col("tokens"))
-    ).select("norm", "expanded", "h")
+    h, norm, expanded, tokens = (F.col(c) for c in ("h", "norm", "expanded", "tokens"))
+    return pairs.select(
+        "norm", "expanded", "h",
+        query_matches(h, norm, expanded, tokens).alias("full"),
+        token_fallback(h, tokens).alias("fallback"),
+    ).filter("full or fallback")
+
+
+def stem_signatures(tokens: Column) -> Column:
+    """Equality or four-letter-stem keys of tokens, for the stem-sharing predicates."""
+    return F.array_distinct(
+        F.concat(
+            _tag("w", F.filter(tokens, lambda t: F.length(t) < 4)),
+            _tag("f", F.transform(F.filter(tokens, lambda t: F.length(t) >= 4), lambda t: F.left(t, F.lit(4)))),
+        )
+    )
 
 
 def fire_triggers(queries: DataFrame, triggers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -177,6 +191,3 @@ def fire_triggers(queries: DataFrame, triggers: DataFrame, hot_rows: int = HOT_R
     pairs = signature_join(left, right, hot_rows).dropDuplicates(["query", "trigger"])
     return pairs.filter(template_match(F.col("query"), F.col("trigger")))
 
-
-def index_tokens(c: Column) -> Column:
-    return dot_words(c)
