@@ -15,6 +15,8 @@ from prefixlake.functions.text import (
     dice,
     grams,
     has_any,
+    let,
+    let_all,
     normalize_text,
     padded,
     squash,
@@ -37,34 +39,42 @@ def token_evidence(h: Column, h_words: Column, token: Column) -> Column:
 
 
 def token_fallback(h: Column, tokens: Column, h_words: Column | None = None) -> Column:
-    h_words = words(h) if h_words is None else h_words
-    significant = F.filter(tokens, lambda t: F.length(t) >= 3)
-    return (F.size(significant) > 0) & F.forall(significant, lambda t: token_evidence(h, h_words, t))
+    def body(v: Column) -> Column:
+        significant = F.filter(v["tokens"], lambda t: F.length(t) >= 3)
+        return F.exists(v["tokens"], lambda t: F.length(t) >= 3) & F.forall(
+            significant, lambda t: token_evidence(v["h"], v["w"], t)
+        )
+
+    return let_all(body, h=h, tokens=tokens, w=words(h) if h_words is None else h_words)
+
+
+def _near_token(h: Column, h_words: Column, token: Column) -> Column:
+    same_start = lambda w: (
+        (F.left(w, F.lit(1)) == F.left(token, F.lit(1)))
+        & (F.abs(F.length(w) - F.length(token)) <= 1)
+        & edit_within(w, token, 1)
+    )
+    return F.when(F.length(token) <= 3, F.exists(h_words, lambda w: F.startswith(w, token))).otherwise(
+        F.contains(h, token) | F.exists(h_words, same_start)
+    )
 
 
 def fuzzy_includes(h: Column, n: Column, h_words: Column | None = None) -> Column:
     """Equal, contained either way, or every significant needle token within one edit."""
-    h_words = words(h) if h_words is None else h_words
-    significant = F.filter(F.split(n, " "), lambda t: F.length(t) >= 3)
-
-    def near(token: Column) -> Column:
-        same_start = lambda w: (
-            (F.left(w, F.lit(1)) == F.left(token, F.lit(1)))
-            & (F.abs(F.length(w) - F.length(token)) <= 1)
-            & edit_within(w, token, 1)
+    def body(v: Column) -> Column:
+        significant = F.filter(F.split(v["n"], " "), lambda t: F.length(t) >= 3)
+        by_token = let(
+            significant, lambda ts: (F.size(ts) > 0) & F.forall(ts, lambda t: _near_token(v["h"], v["w"], t))
         )
         return (
-            F.when(F.length(token) <= 3, F.exists(h_words, lambda w: F.startswith(w, token)))
-            .otherwise(F.contains(h, token) | F.exists(h_words, same_start))
+            (v["n"] == "")
+            | (v["h"] == v["n"])
+            | ((F.length(v["n"]) >= 3) & F.contains(v["h"], v["n"]))
+            | ((F.length(v["h"]) >= 3) & F.contains(v["n"], v["h"]))
+            | by_token
         )
 
-    return (
-        (n == "")
-        | (h == n)
-        | ((F.length(n) >= 3) & F.contains(h, n))
-        | ((F.length(h) >= 3) & F.contains(n, h))
-        | ((F.size(significant) > 0) & F.forall(significant, near))
-    )
+    return let_all(body, h=h, n=n, w=words(h) if h_words is None else h_words)
 
 
 def prefix_phrase_match(h: Column, q: Column, h_words: Column | None = None) -> Column:
@@ -73,97 +83,101 @@ def prefix_phrase_match(h: Column, q: Column, h_words: Column | None = None) ->
     A plain substring test rules most pairs out before any token is compared; for one-word
     queries it is the whole answer.
     """
-    h_words = words(h) if h_words is None else h_words
-    q_words = words(q)
-    head = F.concat(F.lit(" "), F.element_at(q_words, 1))
-    last = F.size(h_words) - F.size(q_words)
-    run = F.exists(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda s: F.forall(
-            F.sequence(F.lit(0), F.size(q_words) - 1),
-            lambda i: F.startswith(F.get(h_words, s + i), F.get(q_words, i)),
-        ),
-    )
+    head = F.concat(F.lit(" "), F.element_at(F.split(q, " "), 1))
+
+    def run(v: Column) -> Column:
+        last = F.size(v["w"]) - F.size(v["qw"])
+        hit = F.exists(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda s: F.forall(
+                F.sequence(F.lit(0), F.size(v["qw"]) - 1),
+                lambda i: F.startswith(F.get(v["w"], s + i), F.get(v["qw"], i)),
+            ),
+        )
+        return (last >= 0) & hit
+
     return (
         F.when(q == "", F.lit(False))
         .when(~F.contains(F.concat(F.lit(" "), h), head), F.lit(False))
         .when(~F.contains(q, F.lit(" ")), F.lit(True))
-        .when(last < 0, F.lit(False))
-        .otherwise(run)
+        .otherwise(let_all(run, w=words(h) if h_words is None else h_words, qw=words(q)))
     )
 
 
 def compact_cross_prefix(h: Column, compact_q: Column, h_words: Column | None = None) -> Column:
     """The compact query starts at a token and runs over at least one token boundary."""
-    h_words = words(h) if h_words is None else h_words
-    count = F.size(h_words)
-    hit = F.exists(
-        F.sequence(F.lit(0), F.greatest(count - 2, F.lit(0))),
-        lambda s: (F.length(compact_q) > F.length(F.get(h_words, s)))
-        & F.startswith(F.array_join(F.slice(h_words, s + 1, count), ""), compact_q),
-    )
+    def run(v: Column) -> Column:
+        hit = F.exists(
+            F.sequence(F.lit(0), F.greatest(F.size(v["w"]) - 2, F.lit(0))),
+            lambda s: (F.length(v["q"]) > F.length(F.get(v["w"], s)))
+            & F.startswith(F.array_join(F.slice(v["w"], s + 1, F.size(v["w"])), ""), v["q"]),
+        )
+        return (F.size(v["w"]) >= 2) & hit
+
     return (
         F.when(F.length(compact_q) < 3, F.lit(False))
         .when(~F.contains(squash(h), compact_q), F.lit(False))
-        .when(count < 2, F.lit(False))
-        .otherwise(hit)
+        .otherwise(let_all(run, w=words(h) if h_words is None else h_words, q=compact_q))
     )
 
 
-def query_matches(
-    h: Column, norm: Column, expanded: Column, tokens: Column, h_words: Column | None = None
-) -> Column:
+def query_matches(h: Column, norm: Column, expanded: Column, tokens: Column) -> Column:
     """The catalog match test: any of the four text rules, on either form of the query."""
-    h_words = words(h) if h_words is None else h_words
-    norm_words = words(norm)
-    short_tail = (
-        (F.size(norm_words) > 1)
-        & (F.length(F.element_at(norm_words, -1)) < 3)
-        & (norm == expanded)
-    )
-    one_form = lambda q: (
-        fuzzy_includes(h, q, h_words)
-        | prefix_phrase_match(h, q, h_words)
-        | compact_cross_prefix(h, squash(q), h_words)
-    )
-    any_rule = (
-        one_form(norm)
-        | ((norm != expanded) & one_form(expanded))
-        | token_fallback(h, tokens, h_words)
-    )
-    return (
-        F.when(h == "", F.lit(False))
-        .when(short_tail, prefix_phrase_match(h, norm, h_words))
-        .otherwise(any_rule)
-    )
+    def body(v: Column) -> Column:
+        one_form = lambda q: (
+            fuzzy_includes(v["h"], q, v["w"])
+            | prefix_phrase_match(v["h"], q, v["w"])
+            | compact_cross_prefix(v["h"], squash(q), v["w"])
+        )
+        short_tail = (
+            F.contains(v["n"], F.lit(" "))
+            & (F.length(F.substring_index(v["n"], " ", -1)) < 3)
+            & (v["n"] == v["e"])
+        )
+        any_rule = (
+            one_form(v["n"])
+            | ((v["n"] != v["e"]) & one_form(v["e"]))
+            | token_fallback(v["h"], v["tokens"], v["w"])
+        )
+        return (
+            F.when(v["h"] == "", F.lit(False))
+            .when(short_tail, prefix_phrase_match(v["h"], v["n"], v["w"]))
+            .otherwise(any_rule)
+        )
+
+    return let_all(body, h=h, n=norm, e=expanded, tokens=tokens, w=words(h))
 
 
 def significant_tokens_every(query: Column, h: Column) -> Column:
-    tokens = words(query)
-    long_tokens = F.filter(tokens, lambda t: F.length(t) >= 3)
-    h_words = words(h)
-    enough = (F.size(tokens) <= 1) | (F.size(long_tokens) >= 2)
-    return enough & (F.size(long_tokens) > 0) & F.forall(
-        long_tokens, lambda t: token_evidence(h, h_words, t)
-    )
+    def body(v: Column) -> Column:
+        enough = (F.size(v["all"]) <= 1) | (F.size(v["long"]) >= 2)
+        return enough & (F.size(v["long"]) > 0) & F.forall(
+            v["long"], lambda t: token_evidence(v["h"], v["w"], t)
+        )
+
+    long_tokens = F.filter(words(query), lambda t: F.length(t) >= 3)
+    return let_all(body, all=words(query), long=long_tokens, h=h, w=words(h))
 
 
 def template_match(query: Column, trigger: Column) -> Column:
     """Does a trigger phrase fire for the query text (both normalized)?"""
-    q_words, t_words = words(query), words(trigger)
-    unique = F.array_distinct(q_words)
-    joined = compact_cross_prefix(trigger, squash(query), t_words) | (
-        (F.size(unique) == 1) & compact_cross_prefix(trigger, F.get(unique, F.lit(0)), t_words)
-    )
-    blocked = (F.size(q_words) < 2) & (F.size(t_words) > 1)
-    has_short = F.exists(t_words, lambda t: F.length(t) <= 2)
-    loose = (
-        prefix_phrase_match(trigger, query, t_words)
-        | prefix_phrase_match(query, trigger, q_words)
-        | (~has_short & fuzzy_includes(query, trigger, q_words))
-        | significant_tokens_every(query, trigger)
-    )
-    return joined | (~blocked & loose)
+    def body(v: Column) -> Column:
+        q, t, qw, tw = v["q"], v["t"], v["qw"], v["tw"]
+        unique = F.array_distinct(qw)
+        joined = compact_cross_prefix(t, squash(q), tw) | (
+            (F.size(unique) == 1) & compact_cross_prefix(t, F.get(unique, F.lit(0)), tw)
+        )
+        blocked = (F.size(qw) < 2) & (F.size(tw) > 1)
+        has_short = F.exists(tw, lambda x: F.length(x) <= 2)
+        loose = (
+            prefix_phrase_match(t, q, tw)
+            | prefix_phrase_match(q, t, qw)
+            | (~has_short & fuzzy_includes(q, t, qw))
+            | significant_tokens_every(q, t)
+        )
+        return joined | (~blocked & loose)
+
+    return let_all(body, q=query, t=trigger, qw=words(query), tw=words(trigger))
 
 
 def shares_stem(a: Column, b: Column) -> Column:
@@ -174,29 +188,29 @@ def shares_stem(a: Column, b: Column) -> Column:
 
 
 def category_evidence(evidence: Column, category: Column) -> Column:
-    evidence_words = words(evidence)
-    return F.forall(
-        words(category), lambda t: F.exists(evidence_words, lambda e: shares_stem(e, t))
+    return let(
+        words(evidence),
+        lambda ws: F.forall(words(category), lambda t: F.exists(ws, lambda e: shares_stem(e, t))),
     )
 
 
 def phrase_evidence(query: Column, phrase: Column) -> Column:
     """Is a lexicon phrase present in the query, token prefixes allowed?"""
-    raw = words(phrase)
-    parts = F.when(F.size(raw) > 1, F.filter(raw, lambda t: F.length(t) >= 2)).otherwise(raw)
-    q_words = words(query)
-    lone_short = (F.size(raw) == 1) & F.exists(parts, lambda t: F.length(t) < 3)
-    loose = F.forall(
-        parts,
-        lambda t: F.exists(
+    def one(t: Column, q_words: Column) -> Column:
+        return F.exists(
             q_words,
             lambda w: F.when(F.length(t) < 3, w == t).otherwise(
                 F.startswith(w, t) | ((F.length(w) >= 3) & F.startswith(t, w))
             ),
-        ),
-    )
-    whole = F.contains(padded(query), padded(phrase))
-    return (phrase != "") & (whole | ((F.size(parts) > 0) & ~lone_short & loose))
+        )
+
+    def body(v: Column) -> Column:
+        parts = F.when(F.size(v["raw"]) > 1, F.filter(v["raw"], lambda t: F.length(t) >= 2)).otherwise(v["raw"])
+        lone_short = (F.size(v["raw"]) == 1) & (F.length(v["p"]) < 3)
+        loose = let(parts, lambda ps: (F.size(ps) > 0) & F.forall(ps, lambda t: one(t, v["qw"])))
+        return (v["p"] != "") & (F.contains(padded(v["q"]), padded(v["p"])) | (~lone_short & loose))
+
+    return let_all(body, q=query, p=phrase, raw=words(phrase), qw=words(query))
 
 
 def expected_match(actual: Column, expected: Column) -> Column:
@@ -226,15 +240,17 @@ def semantic_tokens(expanded: Column) -> Column:
 
 def weighted_token_overlap(q_tokens: Column, d_tokens: Column) -> Column:
     """Share of query-token weight that the document covers; long tokens weigh more."""
-    significant = F.filter(q_tokens, lambda t: F.length(t) >= 3)
     weight = lambda t: F.when(F.length(t) >= 5, F.lit(1.25)).otherwise(F.lit(1.0))
-    total = F.aggregate(significant, F.lit(0.0), lambda s, t: s + weight(t))
-    hit = F.aggregate(
-        F.filter(significant, lambda t: F.exists(d_tokens, lambda d: shares_stem(t, d))),
-        F.lit(0.0),
-        lambda s, t: s + weight(t),
-    )
-    return F.when((total > 0) & (F.size(d_tokens) > 0), hit / total).otherwise(F.lit(0.0))
+    add = lambda s, t: s + weight(t)
+
+    def body(v: Column) -> Column:
+        hits = F.filter(v["q"], lambda t: F.exists(v["d"], lambda d: shares_stem(t, d)))
+        total = F.aggregate(v["q"], F.lit(0.0), add)
+        return F.when((F.size(v["q"]) > 0) & (F.size(v["d"]) > 0), F.aggregate(hits, F.lit(0.0), add) / total).otherwise(
+            F.lit(0.0)
+        )
+
+    return let_all(body, q=F.filter(q_tokens, lambda t: F.length(t) >= 3), d=d_tokens)
 
 
 def similarity_of(q_tokens: Column, q_grams: Column, d_tokens: Column, d_grams: Column) -> Column:
@@ -244,15 +260,21 @@ def similarity_of(q_tokens: Column, q_grams: Column, d_tokens: Column, d_grams:
 
 def semantic_similarity(query: Column, document: Column) -> Column:
     """Blend of token overlap and trigram Dice over the expanded normalized texts."""
-    q, d = expand_semantic(query), expand_semantic(document)
-    score = similarity_of(semantic_tokens(q), grams(squash(q)), semantic_tokens(d), grams(squash(d)))
-    return F.when((q == "") | (d == ""), F.lit(0.0)).otherwise(score)
+    def body(v: Column) -> Column:
+        score = similarity_of(
+            semantic_tokens(v["q"]), grams(squash(v["q"])), semantic_tokens(v["d"]), grams(squash(v["d"]))
+        )
+        return F.when((v["q"] == "") | (v["d"] == ""), F.lit(0.0)).otherwise(score)
+
+    return let_all(body, q=expand_semantic(query), d=expand_semantic(document))
 
 
 def strong_evidence_of(q_tokens: Column, d_tokens: Column) -> Column:
-    significant = F.filter(q_tokens, lambda t: F.length(t) >= 3)
-    hits = F.filter(significant, lambda t: F.exists(d_tokens, lambda d: shares_stem(t, d)))
-    return F.size(hits) >= F.least(F.lit(2), F.size(significant))
+    def body(v: Column) -> Column:
+        hits = F.filter(v["q"], lambda t: F.exists(v["d"], lambda d: shares_stem(t, d)))
+        return F.size(hits) >= F.least(F.lit(2), F.size(v["q"]))
+
+    return let_all(body, q=F.filter(q_tokens, lambda t: F.length(t) >= 3), d=d_tokens)
 
 
 def strong_semantic_evidence(query: Column, document: Column) -> Column:

@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 COMBINING = "[\\u0300-\\u036f]"
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once and use it in ``body``.
+
+    A lambda re-evaluates the outer expressions it mentions for every element; a bound
+    variable is evaluated a single time.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let_all(body, **values: Column) -> Column:
+    """As :func:`let` for several values, handed over as one struct."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
+
+
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
     """Every letter that decomposes to one base letter plus marks, with that base."""
@@ -139,12 +153,14 @@ def is_coordinate_like(norm: Column) -> Column:
 
 def grams(norm: Column, size: int = 3) -> Column:
     """Distinct character n-grams of a string, in first-seen order."""
-    count = F.length(norm) - F.lit(size - 1)
-    spans = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.substr(norm, i, F.lit(size)),
-    )
-    return F.when(count >= 1, F.array_distinct(spans)).otherwise(F.array().cast("array<string>"))
+    def body(text: Column) -> Column:
+        count = F.length(text) - F.lit(size - 1)
+        spans = F.transform(
+            F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))
+        )
+        return F.when(count >= 1, F.array_distinct(spans)).otherwise(F.array().cast("array<string>"))
+
+    return let(norm, body)
 
 
 def trigrams(c: Column) -> Column:
@@ -153,11 +169,12 @@ def trigrams(c: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    total = F.size(a) + F.size(b)
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        F.lit(2.0) * shared / total
-    )
+    def body(v: Column) -> Column:
+        total = F.size(v["a"]) + F.size(v["b"])
+        shared = F.size(F.array_intersect(v["a"], v["b"]))
+        return F.when((F.size(v["a"]) == 0) | (F.size(v["b"]) == 0), F.lit(0.0)).otherwise(F.lit(2.0) * shared / total)
+
+    return let_all(body, a=a, b=b)
 
 
 def longest(tokens: Column) -> Column:
@@ -171,12 +188,10 @@ def longest(tokens: Column) -> Column:
 
 def deletions(token: Column) -> Column:
     """The token and all strings one deletion away: complete for edit distance one."""
-    return F.array_distinct(
-        F.concat(
-            F.array(token),
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))),
-                lambda i: F.concat(F.substr(token, F.lit(1), i - 1), F.substr(token, i + 1)),
-            ),
+    def body(t: Column) -> Column:
+        cut = lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))
+        return F.array_distinct(
+            F.concat(F.array(t), F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), cut))
         )
-    )
+
+    return let(token, body)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefixlake.functions.match import query_matches, template_match, token_fallback
-from prefixlake.functions.text import deletions, grams, longest, squash, words
+from prefixlake.functions.text import deletions, grams, let, longest, squash, words
 
 HOT_ROWS = 20_000
 
@@ -33,9 +33,12 @@ def _spread(kind: str, tokens: Column) -> Column:
 
 def _suffix_heads(tokens: Column) -> Column:
     """First three letters of the text squashed from each token on."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))),
-        lambda s: F.left(F.array_join(F.slice(tokens, s, F.size(tokens)), ""), F.lit(3)),
+    return let(
+        tokens,
+        lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
+            lambda s: F.left(F.array_join(F.slice(w, s, F.size(w)), ""), F.lit(3)),
+        ),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.text import contains_token_phrase, normalize_text, plain, words
+from prefixlake.functions.text import contains_token_phrase, let, normalize_text, plain, words
 from prefixlake.rules import CITY_ALIASES, KNOWN_CITIES
 from prefixlake.sources.catalog import Catalog
 
@@ -40,17 +40,17 @@ def mention_aliases(catalog: Catalog) -> DataFrame:
 
 def city_mentions(texts: DataFrame, aliases: DataFrame, max_words: int = 6) -> DataFrame:
     """(text, city_key) for every city a normalized text names as a whole phrase."""
-    w = words(F.col("text"))
-    runs = F.flatten(
+    runs = lambda w: F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))),
+            F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
             lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("w") - s + 1)),
-                lambda n: F.array_join(F.slice("w", s, n), " "),
+                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(w) - s + 1)),
+                lambda n: F.array_join(F.slice(w, s, n), " "),
             ),
         )
     )
-    grams = texts.select("text").filter("text <> ''").distinct().select("text", w.alias("w")).select("text", F.explode(F.array_distinct(runs)).alias("alias"))
+    distinct = texts.select("text").filter("text <> ''").distinct()
+    grams = distinct.select("text", F.explode(F.array_distinct(let(words(F.col("text")), runs))).alias("alias"))
     return grams.join(aliases, "alias").select("text", "city_key").distinct()
 
 

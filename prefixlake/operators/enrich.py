@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.match import equivalent_list, equivalent_number, equivalent_text
 from prefixlake.functions.num import half_up, round3
-from prefixlake.functions.text import has_any, normalize_text
+from prefixlake.functions.text import has_any, let, normalize_text
 from prefixlake.rules import CATEGORY_LABELS, EVIDENCE_PRIORITY, HOURS_DEFAULT, HOURS_RULES, TAG_LABELS
 
 ATTRIBUTE = "struct<key:string,label:string,value:string,source:string,confidence:double,evidence:array<string>>"
 
 
+def first_by_key(items: Column, key) -> Column:
+    """Items whose key did not occur before, order kept."""
+    def body(v: Column) -> Column:
+        return F.filter(v["items"], lambda x, i: F.array_position(v["keys"], key(x)) == i + 1)
+
+    return let(
+        items, lambda xs: let(F.struct(xs.alias("items"), F.transform(xs, key).alias("keys")), body)
+    )
+
+
 def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     pairs = [F.lit(x) for item in table.items() for x in item]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
@@ -82,8 +92,7 @@ def attributes_of(category: Column, tags: Column, rating: Column, reviews: Colum
             F.array(from_rating, from_reviews, from_popularity),
         )
     )
-    keys = F.transform(listed, lambda x: x["key"])
-    return F.filter(listed, lambda x, i: F.array_position(keys, x["key"]) == i + 1)
+    return first_by_key(listed, lambda x: x["key"])
 
 
 def top_evidence(attributes: Column, n: int = 6) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from prefixlake.functions.match import expected_intent, expected_match
 from prefixlake.functions.num import round3
-from prefixlake.functions.text import normalize_text, squash
+from prefixlake.functions.text import let, normalize_text, squash
 from prefixlake.rules import DEFAULT_WEIGHTS, FACTORS, PRESETS
 from prefixlake.session import hold
 from prefixlake.sources.catalog import Catalog
@@ -25,8 +25,8 @@ def training_rows(suggestions: DataFrame, cases: DataFrame) -> DataFrame:
     wanted = cases.select(
         "case_id", F.transform("expected", normalize_text).alias("expected"), expected_intent(F.col("expected_type")).alias("expected_intent")
     )
-    norm = normalize_text(F.col("text"))
-    label = F.when(F.exists("expected", lambda e: expected_match(norm, e)), 3).when(F.col("type") == F.col("expected_intent"), 1).otherwise(0)
+    hit = let(normalize_text(F.col("text")), lambda n: F.exists("expected", lambda e: expected_match(n, e)))
+    label = F.when(hit, 3).when(F.col("type") == F.col("expected_intent"), 1).otherwise(0)
     return suggestions.join(wanted, "case_id").select("case_id", "rank", "text", "type", label.alias("label"), "factors")
 
 

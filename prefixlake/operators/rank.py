@@ -10,6 +10,7 @@ from prefixlake.functions.geo import clock_minutes, distance_label, distance_loc
 from prefixlake.functions.num import clamp01, round3
 from prefixlake.functions.text import has_any, normalize_text, padded
 from prefixlake.operators.cities import city_key
+from prefixlake.operators.enrich import first_by_key
 from prefixlake.rules import FACTOR_LABELS, FACTORS, LEARNED_WEIGHTS, SOURCES
 
 FACTOR_STRUCT = "struct<" + ",".join(f"{f}:double" for f in FACTORS) + ">"
@@ -170,8 +171,7 @@ def explain(df: DataFrame) -> DataFrame:
             line("Enrichment: ", F.array_join(has_array(df, "enriched"), ", ")), line("Top score factors: ", F.array_join(percent, ", ")),
         )
     )
-    keys = F.transform(evidence, normalize_text)
-    unique = F.filter(evidence, lambda e, i: F.array_position(keys, normalize_text(e)) == i + 1)
+    unique = first_by_key(evidence, normalize_text)
     signals = F.array_join(F.transform(top, lambda x: F.element_at(names, x["key"])), ", ")
     summary = F.concat(
         F.concat_ws(
