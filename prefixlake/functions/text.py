@@ -152,15 +152,20 @@ def is_coordinate_like(norm: Column) -> Column:
 
 
 def grams(norm: Column, size: int = 3) -> Column:
-    """Distinct character n-grams of a string, in first-seen order."""
-    def body(text: Column) -> Column:
-        count = F.length(text) - F.lit(size - 1)
+    """Distinct character n-grams of a string, in first-seen order.
+
+    Works on the array of characters: indexing into it is constant-time, while cutting
+    substrings out of a long text rescans the text every time.
+    """
+    def body(chars: Column) -> Column:
+        count = F.size(chars) - F.lit(size - 1)
         spans = F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))
+            F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+            lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]),
         )
         return F.when(count >= 1, F.array_distinct(spans)).otherwise(F.array().cast("array<string>"))
 
-    return let(norm, body)
+    return let(F.filter(F.split(norm, ""), lambda ch: ch != ""), body)
 
 
 def trigrams(c: Column) -> Column:

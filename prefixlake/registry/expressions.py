@@ -41,9 +41,17 @@ _doc_query(
 _doc_query(
     "b17_contains_any", lambda: text.contains_any(c("text"), ["Wh-an", "éaux"]), d.has_any(N_TEXT, ["wh an", "eaux"]), "hit"
 )
-_doc_query(
-    "b29_trigrams", lambda: F.size(text.trigrams(c("text"))).cast("bigint"), f"len({d.grams(d.flat(N_TEXT))})", "n_trigrams"
+
+
+@query(
+    "b29_trigrams",
+    f"WITH t AS MATERIALIZED (SELECT doc_id, {d.flat(N_TEXT)} AS x FROM documents), g AS (SELECT doc_id, unnest(string_split(x, '')) AS ch, "
+    "generate_subscripts(string_split(x, ''), 1) AS i FROM t), w AS (SELECT doc_id, ch || lead(ch) OVER o || lead(ch, 2) OVER o AS g FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)) "
+    "SELECT t.doc_id, coalesce(k, 0) AS n_trigrams FROM t LEFT JOIN (SELECT doc_id, count(DISTINCT g) AS k FROM w GROUP BY doc_id) USING (doc_id)",
 )
+def b29(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(text.trigrams(c("text"))).cast("bigint").alias("n_trigrams"))
+
 
 PAIR_SQL = d.inputs("requests", "pois") + [
     f"pr AS MATERIALIZED (SELECT request_id, {d.norm('q')} AS n, {d.norm('poi_name')} AS h, {d.norm('category')} AS cat, poi_name, category, brand, "
@@ -285,11 +293,11 @@ _mean = f"radians(({SEG[0]} + {SEG[2]} + latitude) / 3)"
     "b39_segment_distance_m",
     d.with_(
         d.inputs("pois") + [
-            f"s AS (SELECT poi_id, {SEG[1]} * 111320 * cos({_mean}) AS ax, {SEG[0]} * 110540 AS ay, {SEG[3]} * 111320 * cos({_mean}) AS bx, {SEG[2]} * 110540 AS by, "
+            f"s AS (SELECT poi_id, {SEG[1]} * 111320 * cos({_mean}) AS ax, {SEG[0]} * 110540 AS ay, {SEG[3]} * 111320 * cos({_mean}) AS bx, {SEG[2]} * 110540 AS b_y, "
             f"longitude * 111320 * cos({_mean}) AS px, latitude * 110540 AS py FROM in_pois)",
-            "t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t FROM s)",
+            "t AS (SELECT *, greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t FROM s)",
         ],
-        "SELECT poi_id, round(sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (by - ay)) * (py - ay - t * (by - ay))), 3) AS meters FROM t",
+        "SELECT poi_id, round(sqrt((px - ax - t * (bx - ax)) * (px - ax - t * (bx - ax)) + (py - ay - t * (b_y - ay)) * (py - ay - t * (b_y - ay))), 3) AS meters FROM t",
     ),
 )
 def b39(spark, sf):
