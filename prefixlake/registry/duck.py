@@ -241,7 +241,9 @@ def inputs(*names: str) -> list[str]:
 
 
 def with_(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    """A statement over CTEs; inputs asked for twice are kept once."""
+    kept = list(dict.fromkeys(ctes))
+    return "WITH " + ",\n".join(kept) + "\n" + body
 
 
 def widen(x: str) -> str:
