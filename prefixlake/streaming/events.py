@@ -74,7 +74,7 @@ def live_profiles(stream: DataFrame, now_us: int, last_n: int = 80) -> DataFrame
     listed = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in TERM_FIELDS])
     terms = F.filter(F.transform(listed, normalize_text), lambda t: F.length(t) >= 3)
     prepared = stream.select(
-        normalize_text(F.col("user_id")).alias("user_key"), "ingest_seq", F.unix_micros("occurred_at").alias("ts_us"),
+        normalize_text(F.col("user_id")).alias("user_key"), "ingest_seq", F.unix_micros(F.col("occurred_at").cast("timestamp")).alias("ts_us"),
         F.array_join(terms, "\u0001").alias("terms"),
     )
     return prepared.groupBy("user_key").transformWithStateInPandas(
