@@ -51,12 +51,12 @@ def i3(spark, sf):
 
 _cases = lambda table_, key, default: f"CASE {key} " + " ".join(f"WHEN {d.lit(k)} THEN {d.lit(v)}" for k, v in table_.items()) + f" ELSE {default} END"
 ATTR = P + [
-    f"at AS (SELECT poi_id, 0 AS o, 'category:' || replace({d.norm('category')}, ' ', '-') AS key, {_cases(CATEGORY_LABELS, d.norm('category'), 'category')} AS label, 0.86::DOUBLE AS confidence FROM in_pois "
+    f"att AS (SELECT poi_id, 0 AS o, 'category:' || replace({d.norm('category')}, ' ', '-') AS key, {_cases(CATEGORY_LABELS, d.norm('category'), 'category')} AS label, 0.86::DOUBLE AS confidence FROM in_pois "
     f"UNION ALL SELECT poi_id, i, 'tag:' || regexp_replace({d.norm('t')}, '[^a-z0-9]+', '-', 'g'), {_cases(TAG_LABELS, d.norm('t'), 't')}, 0.84::DOUBLE FROM (SELECT poi_id, unnest(tags) AS t, generate_subscripts(tags, 1) AS i FROM in_pois) "
     "UNION ALL SELECT poi_id, 100, CASE WHEN rating >= 4.5 THEN 'quality:high-rating' ELSE 'quality:good-rating' END, CASE WHEN rating >= 4.5 THEN 'Đánh giá rất tốt' ELSE 'Đánh giá tốt' END, CASE WHEN rating >= 4.5 THEN 0.82::DOUBLE ELSE 0.78::DOUBLE END FROM in_pois WHERE rating >= 4 "
     "UNION ALL SELECT poi_id, 101, 'quality:many-reviews', 'Nhiều lượt đánh giá', 0.8::DOUBLE FROM in_pois WHERE review_count >= 1000 "
     "UNION ALL SELECT poi_id, 102, CASE WHEN popularity_score >= 90 THEN 'popularity:very-high' ELSE 'popularity:high' END, CASE WHEN popularity_score >= 90 THEN 'Rất phổ biến' ELSE 'Phổ biến' END, CASE WHEN popularity_score >= 90 THEN 0.83::DOUBLE ELSE 0.77::DOUBLE END FROM in_pois WHERE popularity_score >= 75)",
-    "au AS MATERIALIZED (SELECT poi_id, key, label, confidence, row_number() OVER (PARTITION BY poi_id ORDER BY o) - 1 AS ord FROM (SELECT * FROM at QUALIFY row_number() OVER (PARTITION BY poi_id, key ORDER BY o) = 1))",
+    "au AS MATERIALIZED (SELECT poi_id, key, label, confidence, row_number() OVER (PARTITION BY poi_id ORDER BY o) - 1 AS ord FROM (SELECT * FROM att QUALIFY row_number() OVER (PARTITION BY poi_id, key ORDER BY o) = 1))",
 ]
 
 

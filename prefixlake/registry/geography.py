@@ -241,10 +241,10 @@ def j15(spark, sf):
 
 @query(
     "j16_nearby_amenities",
-    d.with_(P, f"SELECT DISTINCT s.poi_id AS stop_id, a.poi_id FROM in_pois s, in_pois a WHERE s.category = 'Cây xăng' AND a.category = 'Quán cà phê' AND ({d.haversine('s.latitude', 's.longitude', 'a.latitude', 'a.longitude')} <= 30000 OR a.row_ord - 4 = s.row_ord)"),
+    d.with_(P, f"SELECT DISTINCT s.poi_id AS stop_id, a.poi_id FROM in_pois s, in_pois a WHERE s.category = 'Cây xăng' AND a.category = 'Quán cà phê' AND ({d.haversine('s.latitude', 's.longitude', 'a.latitude', 'a.longitude')} <= 30000 OR a.row_ord + 4 = s.row_ord)"),
 )
 def j16(spark, sf):
-    pois = inp(spark, sf, "pois").withColumn("related_id", F.concat(F.lit("P"), (c("row_ord") - 4).cast("string")))
+    pois = inp(spark, sf, "pois").withColumn("related_id", F.concat(F.lit("P"), (c("row_ord") + 4).cast("string")))
     return K.nearby_amenities(pois.filter("category = 'Cây xăng'"), pois.filter("category = 'Quán cà phê'"), 30000.0)
 
 
