@@ -245,7 +245,7 @@ def scope_city(df: DataFrame) -> DataFrame:
     A place's city is the last part of its address, else the first known city its name says; a
     place without either stays unless it names another known city.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce("address", F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("address", F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     name = normalize_text(F.concat_ws(" ", "name", "name"))
     told = F.lit(None).cast("string")
     mention = F.when(F.lit(False), told)

@@ -92,7 +92,7 @@ def check_enum(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 def split_list(c: Column) -> Column:
     """A ``;``-separated cell as an array: trimmed, empty parts dropped."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def canonical_intent(c: Column) -> Column:
