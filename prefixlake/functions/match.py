@@ -17,6 +17,7 @@ from prefixlake.functions.text import (
     has_any,
     let,
     let_all,
+    lit_array,
     normalize_text,
     padded,
     squash,
@@ -225,7 +226,7 @@ def expand_semantic(norm: Column) -> Column:
     """The text followed by the related words of every known term it mentions."""
     parts = [F.array(norm)]
     for term, additions in SEMANTIC_EXPANSIONS.items():
-        extra = F.array(*[F.lit(a) for a in additions])
+        extra = lit_array(additions)
         parts.append(
             F.when(contains_token_phrase(norm, F.lit(term)), extra).otherwise(
                 F.array().cast("array<string>")

@@ -47,6 +47,21 @@ def accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lit_array(values) -> Column:
+    """A constant string array, built in one step."""
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
+def lit_map(table: dict[str, str]) -> Column:
+    """A constant string map, built in one step."""
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def strip_accents(c: Column) -> Column:
     source, target = accent_table()
     return F.regexp_replace(F.translate(c, source, target), COMBINING, "")

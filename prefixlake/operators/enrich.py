@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.match import equivalent_list, equivalent_number, equivalent_text
 from prefixlake.functions.num import half_up, round3
-from prefixlake.functions.text import has_any, let, normalize_text
+from prefixlake.functions.text import has_any, let, lit_map, normalize_text
 from prefixlake.rules import CATEGORY_LABELS, EVIDENCE_PRIORITY, HOURS_DEFAULT, HOURS_RULES, TAG_LABELS
 
 ATTRIBUTE = "struct<key:string,label:string,value:string,source:string,confidence:double,evidence:array<string>>"
@@ -24,8 +24,7 @@ def first_by_key(items: Column, key) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+    return F.coalesce(F.try_element_at(lit_map(table), key), default)
 
 
 def format_number(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from prefixlake.functions.geo import clock_minutes, distance_label, distance_locality, haversine_m, valid_point, within_hours
 from prefixlake.functions.num import clamp01, round3
-from prefixlake.functions.text import has_any, normalize_text, padded
+from prefixlake.functions.text import has_any, normalize_text, padded, quoted
 from prefixlake.operators.cities import city_key
 from prefixlake.operators.enrich import first_by_key
 from prefixlake.rules import FACTOR_LABELS, FACTORS, LEARNED_WEIGHTS, SOURCES
@@ -17,7 +17,8 @@ FACTOR_STRUCT = "struct<" + ",".join(f"{f}:double" for f in FACTORS) + ">"
 
 
 def _by_source(source: Column, slot: int) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for s, row in SOURCES.items() for x in (s, row[slot])]), source)
+    show = lambda v: quoted(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v)
+    return F.element_at(F.expr("map(" + ", ".join(f"{quoted(s)}, {show(row[slot])}" for s, row in SOURCES.items()) + ")"), source)
 
 
 def locality_context(cands: DataFrame, requests: DataFrame) -> DataFrame:

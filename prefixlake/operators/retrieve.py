@@ -22,7 +22,7 @@ from prefixlake.functions.match import (
     template_match,
 )
 from prefixlake.functions.num import clamp01
-from prefixlake.functions.text import grams, has_any, normalize_text, plain, squash, words
+from prefixlake.functions.text import grams, has_any, lit_array, normalize_text, plain, squash, words
 from prefixlake.operators.blocking import match_values, signature_join, stem_signatures
 from prefixlake.operators.enrich import hours_of, poi_attributes, top_evidence
 from prefixlake.rules import MAX_QUERY_FREQUENCY, MAX_REVIEWS, NEARBY_CAFE_REASON, SOURCE_ORDER, TEMPLATES
@@ -398,7 +398,7 @@ def from_templates(requests: DataFrame) -> DataFrame:
     templates = template_table(spark)
     forms = query_forms(requests).filter("norm <> ''")
     texts = forms.select(F.explode(F.array_distinct(F.array("norm", "expanded"))).alias("query")).distinct()
-    fixed = F.array(*[F.lit(t) for t in dict.fromkeys(plain(t) for group in TEMPLATES for t in group[0])])
+    fixed = lit_array(dict.fromkeys(plain(t) for group in TEMPLATES for t in group[0]))
     fired = (
         texts.select("query", F.explode(fixed).alias("trigger"))
         .filter(template_match(F.col("query"), F.col("trigger")))

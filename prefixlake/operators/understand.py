@@ -12,6 +12,7 @@ from prefixlake.functions.text import (
     is_coordinate_like,
     normalize_text,
     plain,
+    quoted,
     replace_token_phrase,
     words,
 )
@@ -28,13 +29,13 @@ def rewrite_rules(abbreviations: DataFrame) -> DataFrame:
     """
     if abbreviations.limit(MAX_RULES + 1).count() > MAX_RULES:
         raise ValueError(f"abbreviations must stay a dictionary of at most {MAX_RULES} rows")
-    fixed = F.array(
-        *[
-            F.struct(
-                F.lit(plain(a)).alias("src"), F.lit(plain(t)).alias("dst"), F.lit(f"{a} -> {t}").alias("label")
-            )
+    fixed = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('src', {quoted(plain(a))}, 'dst', {quoted(plain(t))}, 'label', {quoted(f'{a} -> {t}')})"
             for a, t in QUERY_ALIASES
-        ]
+        )
+        + ")"
     )
     rule = F.struct(
         F.length("src").alias("len"), F.col("row_ord").cast("bigint").alias("row_ord"), "src", "dst", "label"
