@@ -82,8 +82,8 @@ def j4(spark, sf):
 
 # two lists of places per city, as a search would bring them together
 LISTS = P + [
-    "a AS (SELECT city AS request_id, 'poi:' || poi_id AS id, poi_name AS name, category, CASE WHEN row_ord % 2 = 0 THEN latitude END AS lat, CASE WHEN row_ord % 2 = 0 THEN longitude END AS lon, popularity_score / 100.0::DOUBLE AS score, row_ord AS ord, 0 AS l FROM in_pois WHERE row_ord % 3 <> 0)",
-    "b AS (SELECT city AS request_id, 'poi:' || poi_id AS id, poi_name AS name, category, latitude AS lat, longitude AS lon, rating / 5.0::DOUBLE AS score, row_ord AS ord, 1 AS l FROM in_pois WHERE row_ord % 5 <> 0)",
+    "a AS (SELECT city AS request_id, 'poi:' || poi_id AS id, poi_name AS name, category, CASE WHEN brand <> '' THEN latitude END AS lat, CASE WHEN brand <> '' THEN longitude END AS lon, popularity_score / 100.0::DOUBLE AS score, row_ord AS ord, 0 AS l FROM in_pois WHERE popularity_score >= 65)",
+    "b AS (SELECT city AS request_id, 'poi:' || poi_id AS id, poi_name AS name, category, latitude AS lat, longitude AS lon, rating / 5.0::DOUBLE AS score, row_ord AS ord, 1 AS l FROM in_pois WHERE rating >= 3.5)",
     "u AS (SELECT * FROM a UNION ALL SELECT * FROM b)",
     "m AS MATERIALIZED (SELECT request_id, id, arg_max(name, score) AS name, arg_max(category, score) AS category, max(lat) AS lat, max(lon) AS lon, max(score) AS score, min(l * 10000000 + ord) AS first_ord FROM u GROUP BY request_id, id)",
 ]
@@ -95,9 +95,9 @@ def _lists(spark, sf):
         c("city").alias("request_id"), F.concat(F.lit("poi:"), "poi_id").alias("id"), c("poi_name").alias("name"), "category", lat.alias("lat"), lon.alias("lon"),
         score.alias("score"), c("row_ord").alias("ord"), "address", "tags",
     )
-    even = lambda col: F.when(c("row_ord") % 2 == 0, c(col))
-    first = shape(pois.filter("row_ord % 3 <> 0"), even("latitude"), even("longitude"), c("popularity_score") / 100.0)
-    second = shape(pois.filter("row_ord % 5 <> 0"), c("latitude"), c("longitude"), c("rating") / 5.0)
+    placed = lambda col: F.when(c("brand") != "", c(col))
+    first = shape(pois.filter("popularity_score >= 65"), placed("latitude"), placed("longitude"), c("popularity_score") / 100.0)
+    second = shape(pois.filter("rating >= 3.5"), c("latitude"), c("longitude"), c("rating") / 5.0)
     return first, second
 
 
@@ -134,11 +134,10 @@ def j8(spark, sf):
     return J.filter_places(rows).select("request_id", "id")
 
 
-@query("j9_scope_city", d.with_(P, f"SELECT want AS want_city, poi_id FROM in_pois p, (SELECT DISTINCT city AS want FROM in_requests WHERE city IS NOT NULL) w WHERE {d.city_key(d.norm('p.city'))} = {d.city_key(d.norm('want'))}"))
+@query("j9_scope_city", d.with_(P, f"SELECT request_id, poi_id FROM in_requests r JOIN in_pois p ON cust = row_ord WHERE r.city IS NULL OR {d.city_key(d.norm('p.city'))} = {d.city_key(d.norm('r.city'))}"))
 def j9(spark, sf):
-    cities = S.requests(spark, sf).filter("city is not null").select(c("city").alias("want_city"), F.lit(1).alias("one")).distinct()
-    rows = inp(spark, sf, "pois").select("poi_id", "address", c("poi_name").alias("name"), F.lit(1).alias("one")).join(cities, "one")
-    return J.scope_city(rows).select("want_city", "poi_id")
+    own = inp(spark, sf, "pois").select(c("row_ord").alias("cust"), "poi_id", "address", c("poi_name").alias("name"))
+    return J.scope_city(S.requests(spark, sf).select("request_id", "cust", c("city").alias("want_city")).join(own, "cust")).select("request_id", "poi_id")
 
 
 @query("j10_lookup_poi", d.with_(P, "SELECT o_orderkey AS request_id, poi_id FROM orders JOIN in_pois ON o_custkey = row_ord"))

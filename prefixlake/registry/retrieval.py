@@ -125,9 +125,7 @@ def docs(spark, sf) -> DataFrame:
     return S.model(spark, sf).docs
 
 
-@query(
-    "d4_semantic_matches",
-    d.with_(
+D4_SQL = (
         d.form_ctes() + DOC_SQL + [
             f"vq AS MATERIALIZED (SELECT q, expanded AS query FROM forms WHERE norm <> '' AND NOT (NOT contains(norm, ' ') AND norm = expanded AND len(expansions) = 0 AND length(norm) >= 6) AND length(expanded) >= 4)",
             f"qx AS MATERIALIZED (SELECT query, {d.expand_semantic('query')} AS x FROM (SELECT DISTINCT query FROM vq))",
@@ -138,10 +136,11 @@ def docs(spark, sf) -> DataFrame:
             f"ov AS MATERIALIZED (SELECT query, t, qg, dg, {d.overlap('qt', 'dt')} AS o FROM qs2, ds WHERE {d.strong('qt', 'dt')})",
             f"sc AS (SELECT query, t, {d.round3('least(1.0::DOUBLE, o * 0.72::DOUBLE + (' + d.dice('qg', 'dg') + ') * 0.28::DOUBLE)')} AS similarity FROM ov WHERE o * 0.72 + 0.28 >= 0.4)",
             "rk AS (SELECT query, doc_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, grp, row_ord) AS rank FROM sc JOIN dn USING (t) WHERE similarity >= 0.5)",
-        ],
-        "SELECT q, doc_id, similarity, rank FROM rk JOIN vq USING (query) WHERE rank <= 12",
-    ),
+        ]
 )
+
+
+@query("d4_semantic_matches", d.with_(D4_SQL, "SELECT q, doc_id, similarity, rank FROM rk JOIN vq USING (query) WHERE rank <= 12"))
 def d4(spark, sf):
     return held(spark, sf, "d4", lambda: R.semantic_matches(S.forms(spark, sf), docs(spark, sf)))
 
@@ -181,20 +180,22 @@ def _template_rows() -> str:
     return ", ".join(rows)
 
 
-@query(
-    "d8_from_templates",
-    d.with_(
+D8_SQL = (
         CTX + [
             f"tp(i, pos, label, trig, text, type, reason) AS (VALUES {_template_rows()})",
             "fx AS MATERIALIZED (SELECT DISTINCT norm, expanded FROM forms)", "tr AS MATERIALIZED (SELECT DISTINCT trig FROM tp)",
             f"fire AS MATERIALIZED (SELECT norm, expanded, trig FROM fx, tr WHERE {d.template_match('norm', 'trig')} OR {d.template_match('expanded', 'trig')})",
             "h AS (SELECT norm, expanded, i, text, type, reason, array_to_string(list(label ORDER BY pos)[:2], '|') AS matched FROM fire JOIN tp USING (trig) GROUP BY ALL)",
             f"h2 AS (SELECT h.*, request_id, located, reason = 'mixed language nearby cafe intent' AND ({d.has_any('norm', ['gan day', 'gan nhat'])} OR suffix(norm, ' gan')) AS near FROM h JOIN cf USING (norm, expanded))",
-        ],
-        "SELECT request_id, 'template-' || i AS id, text, CASE WHEN near THEN 'Nearby Search' ELSE type END AS type, matched, CASE WHEN near AND located THEN 0.58::DOUBLE ELSE 0.74::DOUBLE END AS base, "
-        "0.82::DOUBLE AS freq, CASE WHEN near AND located THEN 0.08::DOUBLE ELSE 0.52::DOUBLE END AS boost, reason FROM h2",
-    ),
+        ]
+)
+D8_BODY = (
+    "SELECT request_id, 'template-' || i AS id, text, CASE WHEN near THEN 'Nearby Search' ELSE type END AS type, matched, CASE WHEN near AND located THEN 0.58::DOUBLE ELSE 0.74::DOUBLE END AS base, "
+        "0.82::DOUBLE AS freq, CASE WHEN near AND located THEN 0.08::DOUBLE ELSE 0.52::DOUBLE END AS boost, reason FROM h2"
 )
+
+
+@query("d8_from_templates", d.with_(D8_SQL, D8_BODY))
 def d8(spark, sf):
     return flat(held(spark, sf, "d8", lambda: R.from_templates(S.contexts(spark, sf))))
 
@@ -218,45 +219,34 @@ MENTION = " UNION ALL ".join(f"SELECT unnest([{d.lits([a for a in al if len(a) >
 @query(
     "d10_filter_city",
     d.with_(
-        d.inputs("requests", "pois", "pairs") + [
-            f"al AS ({MENTION})", f"t AS MATERIALIZED (SELECT suggestion_id AS id, suggestion_text AS text, {d.norm('suggestion_text')} AS n FROM in_pairs)",
-            "said AS MATERIALIZED (SELECT DISTINCT n, key FROM (SELECT DISTINCT n FROM t), al WHERE contains(' ' || n || ' ', ' ' || alias || ' '))",
-            f"w AS (SELECT DISTINCT city, {d.city_key(d.norm('city'))} AS want FROM in_requests WHERE city IS NOT NULL)",
+        D8_SQL + [
+            f"al AS ({MENTION})", f"tc AS ({D8_BODY})", f"cw AS (SELECT request_id, CASE WHEN city IS NOT NULL THEN {d.city_key(d.norm('city'))} END AS want FROM ctx)",
+            f"ts AS (SELECT tc.request_id, id, want, {d.norm('(text || chr(32) || reason || chr(32) || matched)')} AS n FROM tc JOIN cw USING (request_id))",
         ],
-        "SELECT city AS request_id, id FROM w, t WHERE NOT EXISTS (SELECT 1 FROM said WHERE said.n = t.n AND key <> want) "
-        f"UNION ALL SELECT w.city, poi_id FROM w, in_pois p WHERE {d.city_key(d.norm('p.city'))} = want",
+        "SELECT request_id, id FROM ts WHERE want IS NULL OR NOT EXISTS (SELECT 1 FROM al WHERE key <> want AND contains(' ' || ts.n || ' ', ' ' || alias || ' '))",
     ),
 )
 def d10(spark, sf):
-    cat = S.catalog(spark, sf)
-    asked = S.requests(spark, sf).filter("city is not null").select(c("city").alias("request_id"), "city").distinct()
-    one = F.lit(1).alias("one")
-    texts = cat.pairs.select(c("suggestion_id").alias("id"), c("suggestion_text").alias("text"), F.lit(None).cast(R.POI).alias("poi"))
-    places = cat.pois.select(c("poi_id").alias("id"), c("poi_name").alias("text"), R.poi_struct().alias("poi"))
-    cands = asked.select("request_id", one).join(texts.unionByName(places).select("*", one), "one").drop("one").withColumn("reason", F.lit("")).withColumn("matched", F.array().cast("array<string>"))
-    return filter_city(cands, asked, mention_aliases(cat)).select("request_id", "id")
+    rows = held(spark, sf, "d8", lambda: R.from_templates(S.contexts(spark, sf)))
+    return filter_city(rows, S.contexts(spark, sf), mention_aliases(S.catalog(spark, sf))).select("request_id", "id")
 
 
 @query(
     "d11_filter_category",
     d.with_(
-        ENTITY_CTES + d.inputs("pairs") + [
+        ENTITY_CTES + D4_SQL + [
             "wanted AS (SELECT q, list(DISTINCT " + d.norm("value") + ") AS cats FROM ent WHERE kind = 'category' AND confidence >= 0.8 GROUP BY q)",
-            f"t AS MATERIALIZED (SELECT DISTINCT {d.norm('suggestion_text')} AS n FROM in_pairs)",
-            "dc AS MATERIALIZED (SELECT DISTINCT cats FROM wanted)", "ch AS MATERIALIZED (SELECT DISTINCT unnest(cats) AS cat FROM dc)",
-            f"ok AS MATERIALIZED (SELECT n, cat FROM t, ch WHERE {d.category_evidence('n', 'cat')})",
-            "keep AS (SELECT DISTINCT q, n FROM (SELECT q, unnest(cats) AS cat FROM wanted) JOIN ok USING (cat))",
+            "sm AS MATERIALIZED (SELECT q, doc_id, t AS txt FROM rk JOIN vq USING (query) JOIN dn USING (doc_id) WHERE rank <= 12)",
+            f"ok AS (SELECT DISTINCT q, doc_id FROM (SELECT q, doc_id, txt, unnest(cats) AS cat FROM sm JOIN wanted USING (q)) WHERE {d.category_evidence('txt', 'cat')})",
         ],
-        "SELECT q, n FROM keep UNION ALL SELECT f.q, t.n FROM forms f, t WHERE f.q NOT IN (SELECT q FROM wanted)",
+        "SELECT q, doc_id FROM ok UNION ALL SELECT q, doc_id FROM sm WHERE q NOT IN (SELECT q FROM wanted)",
     ),
 )
 def d11(spark, sf):
-    from prefixlake.functions.text import normalize_text
-
+    """Category filter over the lexical-semantic matches."""
+    found = held(spark, sf, "d4", lambda: R.semantic_matches(S.forms(spark, sf), docs(spark, sf)))
+    rows = found.join(docs(spark, sf).select("doc_id", "text"), "doc_id").select(
+        c("q").alias("request_id"), "doc_id", "text", F.lit("semantic").alias("source"), F.lit(None).cast(R.POI).alias("poi")
+    )
     asked = S.forms(spark, sf).select("q", c("q").alias("request_id"))
-    texts = S.catalog(spark, sf).pairs.select(normalize_text(c("suggestion_text")).alias("text")).distinct()
-    one = F.lit(1).alias("one")
-    cands = asked.select("request_id", one).join(texts.select("text", one), "one").drop("one").withColumn("source", F.lit("semantic")).withColumn("poi", F.lit(None).cast(R.POI))
-    return filter_category(cands, asked, S.entities(spark, sf)).select(c("request_id").alias("q"), c("text").alias("n"))
-
-
+    return filter_category(rows, asked, S.entities(spark, sf)).select(c("request_id").alias("q"), "doc_id")
