@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefixlake.functions.text import contains_token_phrase, let, normalize_text, plain, words
+from prefixlake.functions.text import contains_token_phrase, normalize_text, plain, words
 from prefixlake.rules import CITY_ALIASES, KNOWN_CITIES
 from prefixlake.sources.catalog import Catalog
 
@@ -38,20 +38,16 @@ def mention_aliases(catalog: Catalog) -> DataFrame:
     )
 
 
-def city_mentions(texts: DataFrame, aliases: DataFrame, max_words: int = 6) -> DataFrame:
-    """(text, city_key) for every city a normalized text names as a whole phrase."""
-    runs = lambda w: F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(w) - s + 1)),
-                lambda n: F.array_join(F.slice(w, s, n), " "),
-            ),
-        )
-    )
+def city_mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(text, city_key) for every city a normalized text names as a whole phrase.
+
+    Texts meet aliases on the alias's first word; the phrase itself is then checked, however
+    many words it has.
+    """
     distinct = texts.select("text").filter("text <> ''").distinct()
-    grams = distinct.select("text", F.explode(F.array_distinct(let(words(F.col("text")), runs))).alias("alias"))
-    return grams.join(aliases, "alias").select("text", "city_key").distinct()
+    starts = distinct.select("text", F.explode(F.array_distinct(words(F.col("text")))).alias("first"))
+    named = aliases.withColumn("first", F.element_at(words(F.col("alias")), 1))
+    return starts.join(named, "first").filter(contains_token_phrase(F.col("text"), F.col("alias"))).select("text", "city_key").distinct()
 
 
 def filter_city(cands: DataFrame, requests: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -93,7 +93,7 @@ def reverse_geocode(requests: DataFrame, pois: DataFrame, k: int = 5, radius: fl
     """
     if radius is not None:
         return nearby(requests, pois, radius, None, k)
-    points = hold(requests.select("lat", "lon").distinct().withColumn("request_id", F.xxhash64("lat", "lon")))
+    points = hold(requests.select("lat", "lon").distinct().withColumn("request_id", F.struct("lat", "lon")))
     done, ring = None, start_m
     while True:
         last = ring >= 20_100_000.0
@@ -108,7 +108,7 @@ def reverse_geocode(requests: DataFrame, pois: DataFrame, k: int = 5, radius: fl
             break
         ring *= 8.0
     found = done.withColumnRenamed("request_id", "point_id")
-    return requests.select("request_id", F.xxhash64("lat", "lon").alias("point_id")).join(found, "point_id").drop("point_id")
+    return requests.select("request_id", F.struct("lat", "lon").alias("point_id")).join(found, "point_id").drop("point_id")
 
 
 def geocode(requests: DataFrame, pois: DataFrame, k: int = 5) -> DataFrame:
@@ -123,11 +123,11 @@ def geocode(requests: DataFrame, pois: DataFrame, k: int = 5) -> DataFrame:
     parts = F.split("query", " ")
     tokens = F.filter(parts, lambda t: F.length(t) >= 2)
     side = asks.select("query").distinct().filter("query <> ''").withColumn("tokens", tokens)
-    # one probe per word: a word found anywhere shares its first two letters' bigram
-    left = side.withColumn("sigs", F.array_distinct(F.transform("tokens", lambda t: F.left(t, F.lit(3)))))
+    # a word or whole query found anywhere shares its first three letters, or all it has, with the text's grams
+    left = side.withColumn("sigs", F.array_distinct(F.transform(F.concat("tokens", F.array("query")), lambda t: F.left(t, F.lit(3)))))
     text = normalize_text(F.concat_ws(" ", "poi_name", "address", "city", "category", "brand"))
     base = pois.select("poi_id", text.alias("hay"), "latitude", "longitude", "popularity_score")
-    right = base.select("hay").distinct().withColumn("sigs", F.array_union(grams(F.col("hay"), 3), grams(F.col("hay"), 2)))
+    right = base.select("hay").distinct().withColumn("sigs", F.array_union(F.array_union(grams(F.col("hay"), 3), grams(F.col("hay"), 2)), grams(F.col("hay"), 1)))
     found = F.size(F.filter("tokens", lambda t: F.contains("hay", t)))
     share = F.when(F.contains("hay", F.col("query")), 1.0).otherwise(found / F.greatest(F.lit(1), F.size(F.split("query", " "))))
     texts = signature_join(left, right).dropDuplicates(["query", "hay"]).select("query", "hay", share.cast("double").alias("text_score")).filter("text_score > 0")
@@ -182,18 +182,22 @@ def keyword_search(requests: DataFrame, pois: DataFrame) -> DataFrame:
 def merge_places(first: DataFrame, second: DataFrame) -> DataFrame:
     """One row per request and place id from two lists (request_id, id, score, lat, lon, ord, ...).
 
-    A later row takes over when it scores higher or brings the coordinates; the best score and
-    the first place are kept.
+    Rows of one id are folded in list order: a later row takes over when it scores higher than
+    all before it or brings the coordinates they lack; the best score and the first place are kept.
     """
     both = first.withColumn("list", F.lit(0)).unionByName(second.withColumn("list", F.lit(1)), allowMissingColumns=True)
-    place = F.struct("list", "ord")
-    located = F.col("lat").isNotNull()
     columns = [c for c in both.columns if c not in ("request_id", "id", "score", "list", "ord")]
-    best = F.struct((-located.cast("int")).alias("l"), (-F.coalesce("score", F.lit(0.0))).alias("n"), place.alias("p"))
-    merged = both.groupBy("request_id", "id").agg(
-        F.min_by(F.struct(*columns), best).alias("w"), F.max("score").alias("score"), F.min(place).alias("ord")
-    )
-    return merged.select("request_id", "id", "w.*", "score", "ord")
+    row = F.struct(F.struct("list", "ord").alias("ord"), F.col("score").cast("double").alias("score"), F.struct(*columns).alias("w"))
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def fold(kept: Column, new: Column) -> Column:
+        takes = (value(new["score"]) > value(kept["score"])) | (kept["w"]["lat"].isNull() & new["w"]["lat"].isNotNull())
+        return F.struct(kept["ord"].alias("ord"), F.greatest(kept["score"], new["score"]).alias("score"), F.when(takes, new["w"]).otherwise(kept["w"]).alias("w"))
+
+    # a list names an id once, so a group holds two rows
+    merged = both.groupBy("request_id", "id").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("rows"))
+    folded = merged.select("request_id", "id", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.element_at("rows", 1), fold).alias("m"))
+    return folded.select("request_id", "id", "m.w.*", "m.score", "m.ord")
 
 
 def rescore_proximity(df: DataFrame) -> DataFrame:

@@ -20,74 +20,77 @@ from prefixlake.operators.lexicon import Lexicon
 from prefixlake.rules import QUERY_ALIASES
 from prefixlake.session import hold
 
-MAX_RULES = 10_000
+RULE = "struct<ord:struct<part:int,len:int,row_ord:bigint,src:string,dst:string>,src:string,dst:string,label:string>"
 
 
-def rewrite_rules(abbreviations: DataFrame) -> DataFrame:
-    """All rewrite rules as one row with an ordered array: fixed aliases, then abbreviations
-    longest first. Abbreviations are a dictionary table, checked to stay one.
-    """
-    if abbreviations.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"abbreviations must stay a dictionary of at most {MAX_RULES} rows")
-    fixed = F.expr(
-        "array("
-        + ", ".join(
-            f"named_struct('src', {quoted(plain(a))}, 'dst', {quoted(plain(t))}, 'label', {quoted(f'{a} -> {t}')})"
-            for a, t in QUERY_ALIASES
-        )
-        + ")"
-    )
-    rule = F.struct(
-        F.length("src").alias("len"), F.col("row_ord").cast("bigint").alias("row_ord"), "src", "dst", "label"
-    )
-    listed = (
-        abbreviations.select(
-            normalize_text(F.col("abbreviation")).alias("src"),
-            normalize_text(F.col("expanded_form")).alias("dst"),
-            F.concat_ws(" -> ", "abbreviation", "expanded_form").alias("label"),
-            "row_ord",
-        )
-        .filter("src <> ''")
-        .agg(F.collect_list(rule).alias("rules"))
+def fixed_rules() -> Column:
+    """The fixed aliases as an array of rules, in their order."""
+    rows = ", ".join(
+        f"named_struct('ord', named_struct('part', 0, 'len', {i}, 'row_ord', 0L, 'src', '', 'dst', ''), "
+        f"'src', {quoted(plain(a))}, 'dst', {quoted(plain(t))}, 'label', {quoted(f'{a} -> {t}')})"
+        for i, (a, t) in enumerate(QUERY_ALIASES)
     )
-    order = lambda a, b: (
-        F.when(a["len"] != b["len"], b["len"] - a["len"])
-        .otherwise(F.signum(a["row_ord"] - b["row_ord"]))
-        .cast("int")
-    )
-    narrow = lambda r: F.struct(r["src"].alias("src"), r["dst"].alias("dst"), r["label"].alias("label"))
-    return listed.select(F.concat(fixed, F.transform(F.array_sort("rules", order), narrow)).alias("rules"))
-
-
-def with_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Attach the rule array to every row through a scalar subquery."""
-    return df.withColumn("rules", rules.select("rules").scalar())
+    return F.expr(f"array({rows})").cast(f"array<{RULE}>")
 
 
-def expand_column(norm: Column) -> Column:
-    """Apply every rule of the ``rules`` column in order; each rewrite feeds the next one."""
-    start = F.struct(norm.alias("text"), F.array().cast("array<string>").alias("applied"))
+def rewrite_rules(abbreviations: DataFrame) -> DataFrame:
+    """Abbreviations as rules (first word of the source, rule); applied longest source first, then in file order."""
+    src, dst = normalize_text(F.col("abbreviation")), normalize_text(F.col("expanded_form"))
+    rows = abbreviations.select(src.alias("src"), dst.alias("dst"), F.concat_ws(" -> ", "abbreviation", "expanded_form").alias("label"), F.col("row_ord").cast("bigint").alias("row_ord"))
+    order = F.struct(F.lit(1).alias("part"), (-F.length("src")).alias("len"), "row_ord", "src", "dst")
+    return rows.filter("src <> ''").select(
+        F.element_at(words(F.col("src")), 1).alias("first"), F.struct(order.alias("ord"), "src", "dst", "label").cast(RULE).alias("rule")
+    ).distinct()
+
+
+def fold_rules(norm: Column, rules: Column) -> Column:
+    """Apply ordered rules; each rewrite feeds the next one. ``seen`` holds the text after every rewrite."""
+    start = F.struct(norm.alias("text"), F.array().cast("array<string>").alias("applied"), F.array(norm).alias("seen"))
     step = lambda acc, r: F.when(
         contains_token_phrase(acc["text"], r["src"]),
         F.struct(
             replace_token_phrase(acc["text"], r["src"], r["dst"]).alias("text"),
             F.concat(acc["applied"], F.array(r["label"])).alias("applied"),
+            F.concat(acc["seen"], F.array(replace_token_phrase(acc["text"], r["src"], r["dst"]))).alias("seen"),
         ),
     ).otherwise(acc)
-    return F.aggregate(F.col("rules"), start, step)
+    return F.aggregate(rules, start, step)
+
+
+def expand_texts(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """norm -> x (text, applied) for distinct normalized texts.
+
+    A text meets only the rules whose source it, or a text it has become, contains: they are
+    found by a join on the source's first word. Folding them can bring up further rules, so the
+    join is repeated for the texts that changed until it finds no new rule.
+    """
+    none = F.array().cast(f"array<{RULE}>")
+    todo = texts.select("norm").distinct().select("norm", F.array("norm").alias("seen"), none.alias("own"))
+    done = None
+    while True:
+        probes = todo.select("norm", F.explode("seen").alias("now")).select("norm", "now", F.explode(F.array_distinct(words(F.col("now")))).alias("first"))
+        hits = probes.join(rules, "first").filter(contains_token_phrase(F.col("now"), F.col("rule.src")))
+        found = hits.groupBy("norm").agg(F.collect_set("rule").alias("hit"))
+        both = F.array_union("own", F.coalesce("hit", none))
+        folded = hold(
+            todo.join(found, "norm", "left").select("norm", (F.size(both) > F.size("own")).alias("grew"), both.alias("own"))
+            .withColumn("x", fold_rules(F.col("norm"), F.concat(fixed_rules(), F.array_sort("own"))))
+        )
+        # a text that no rule changed, or that met no new rule, is final
+        more = F.col("grew") if done is not None else F.size("x.applied") > 0
+        settled = folded.filter(~more).select("norm", F.struct("x.text", "x.applied").alias("x"))
+        done = settled if done is None else done.unionByName(settled)
+        todo = folded.filter(more).select("norm", F.col("x.seen").alias("seen"), "own")
+        if todo.isEmpty():
+            return done
 
 
 def expand_queries(requests: DataFrame, abbreviations: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Distinct queries with norm, expanded, expansions and tokens."""
     rules = rewrite_rules(abbreviations) if rules is None else rules
-    return (
-        with_rules(requests.select("q").distinct(), rules)
-        .withColumn("norm", normalize_text(F.col("q")))
-        .withColumn("x", expand_column(F.col("norm")))
-        .select(
-            "q", "norm", F.col("x.text").alias("expanded"), F.col("x.applied").alias("expansions"),
-            dot_words(F.col("x.text")).alias("tokens"),
-        )
+    asked = requests.select("q").distinct().withColumn("norm", normalize_text(F.col("q")))
+    return asked.join(expand_texts(asked, rules), "norm").select(
+        "q", "norm", F.col("x.text").alias("expanded"), F.col("x.applied").alias("expansions"), dot_words(F.col("x.text")).alias("tokens")
     )
 
 
@@ -196,13 +199,10 @@ def _best_path(edges: Column, size: Column, anchors: Column) -> Column:
 
 
 def prefix_anchors(abbreviations: DataFrame) -> DataFrame:
-    """One-word abbreviations and aliases, after which a one-letter ending is accepted."""
-    fixed = F.array(*[F.lit(plain(a)) for a, _ in QUERY_ALIASES if " " not in plain(a)])
-    short = (
-        abbreviations.select(normalize_text(F.col("abbreviation")).alias("a"))
-        .filter("a <> '' and not contains(a, ' ')").agg(F.collect_set("a").alias("a"))
-    )
-    return short.select(F.array_union(fixed, F.col("a")).alias("anchors"))
+    """One-word abbreviations and aliases (word), after which a one-letter ending is accepted."""
+    fixed = F.explode(F.array(*[F.lit(plain(a)) for a, _ in QUERY_ALIASES if " " not in plain(a)]))
+    short = abbreviations.select(normalize_text(F.col("abbreviation")).alias("word")).filter("word <> '' and not contains(word, ' ')")
+    return short.sparkSession.range(1).select(fixed.alias("word")).union(short).distinct()
 
 
 def segment_tokens(tokens: DataFrame, lexicon: Lexicon, abbreviations: DataFrame) -> DataFrame:
@@ -234,10 +234,14 @@ def segment_tokens(tokens: DataFrame, lexicon: Lexicon, abbreviations: DataFrame
             (token_score(F.coalesce(word, F.col("piece"))) + adjust).alias("gain"),
             F.coalesce(ending & (F.length("piece") == 1), F.lit(False)).alias("lone"),
         )
+        .join(prefix_anchors(abbreviations).withColumn("anchor", F.lit(True)), "word", "left")
         .groupBy("token")
-        .agg(F.array_sort(F.collect_list(F.struct("e", "s", "word", "gain", "lone"))).alias("edges"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("e", "s", "word", "gain", "lone"))).alias("edges"),
+            F.collect_set(F.when(F.col("anchor"), F.col("word"))).alias("anchors"),
+        )
     )
-    split = edges.withColumn("anchors", prefix_anchors(abbreviations).scalar()).withColumn(
+    split = edges.withColumn(
         "best", _best_path(F.col("edges"), F.length("token"), F.col("anchors"))
     ).select("token", F.when(F.size("best.parts") >= 2, F.array_join("best.parts", " ")).alias("split"))
     return looked_up.join(split, "token", "left").select(
@@ -421,11 +425,9 @@ def understand(requests: DataFrame, lexicon: Lexicon, abbreviations: DataFrame)
     """Distinct queries with the best rewrite applied: q, norm, expanded, expansions, tokens."""
     rules = rewrite_rules(abbreviations)
     base = hold(expand_queries(requests, abbreviations, rules))
-    best = (
-        with_rules(propose_rewrites(base, lexicon, abbreviations, k=1), rules)
-        .withColumn("again", expand_column(normalize_text(F.col("rewrite"))))
-        .select("norm", "again", F.concat_ws(": ", "source", "reason").alias("note"))
-    )
+    proposed = hold(propose_rewrites(base, lexicon, abbreviations, k=1).withColumn("written", normalize_text(F.col("rewrite"))))
+    again = expand_texts(proposed.select(F.col("written").alias("norm")), rules).select(F.col("norm").alias("written"), F.col("x").alias("again"))
+    best = proposed.join(again, "written").select("norm", "again", F.concat_ws(": ", "source", "reason").alias("note"))
     expanded = F.coalesce("again.text", "expanded")
     notes = F.concat("expansions", F.array("note"), "again.applied")
     return base.join(best, "norm", "left").select(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from prefixlake.functions.text import normalize_text
@@ -11,6 +9,7 @@ from prefixlake.operators import aliases as L
 from prefixlake.operators import behavior as H
 from prefixlake.registry import duck as d
 from prefixlake.registry.core import inp, query, table
+from prefixlake.session import work_folder
 from prefixlake.sources.tables import NOW
 from prefixlake.streaming import events as stream
 
@@ -114,8 +113,8 @@ def h7(spark, sf):
     return H.latest_events(inp(spark, sf, "events")).select("ingest_seq")
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-stream-")
+def _folder(spark) -> str:
+    return work_folder(spark, "stream")
 
 
 def _event_stream(spark, sf):
@@ -126,7 +125,7 @@ def _event_stream(spark, sf):
 
 @query("h7_ingest_events", "SELECT event_id, user_id, event_type FROM events")
 def h7b(spark, sf):
-    path, mark = _folder(), _folder()
+    path, mark = _folder(spark), _folder(spark)
     _, raw = _event_stream(spark, sf)
     stream.ingest_events(raw, path, mark).awaitTermination()
     return spark.read.parquet(path).select("event_id", "user_id", "event_type")
@@ -142,7 +141,7 @@ def h7b(spark, sf):
 def h8(spark, sf):
     from prefixlake.sources.tables import INPUT_SQL
 
-    path, mark = _folder(), _folder()
+    path, mark = _folder(spark), _folder(spark)
     _, raw = _event_stream(spark, sf)
     shaped = spark.sql(INPUT_SQL["events"].replace("VARCHAR(20)", "STRING").replace("VARCHAR(9)", "STRING"), events=raw)
     now_us = int(spark.sql(f"SELECT unix_micros(TIMESTAMP '{NOW}')").first()[0])
@@ -154,8 +153,8 @@ def h8(spark, sf):
 
     live.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(path)
-    newest = rows.groupBy("user_key").agg(F.max("last_seq").alias("last_seq"))
-    return rows.join(newest, ["user_key", "last_seq"]).select("user_key", "term", F.round("weight", 6).alias("weight"))
+    newest = rows.groupBy("user_key").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["user_key", "version"]).select("user_key", "term", F.round("weight", 6).alias("weight"))
 
 
 OBS = (
@@ -169,7 +168,7 @@ FOLDED = OBS_KEYED + [
 STATUS = "CASE WHEN r > a THEN 'rejected' WHEN a >= 3 AND a >= r * 2 THEN 'approved' ELSE 'candidate' END"
 
 
-def _observations(spark, sf, raw=None):
+def alias_observations(spark, sf, raw=None):
     events = table(spark, sf, "events") if raw is None else raw
     return events.select(
         F.concat_ws(" ", "event_type", (c("user_id") % 40).cast("string")).alias("raw_query"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("rewrite"),
@@ -186,7 +185,7 @@ L_SQL = d.with_(FOLDED, f"SELECT scope, raw_norm, rewrite_norm, a AS accepted_co
 
 @query("l1_upsert_aliases", L_SQL)
 def l1(spark, sf):
-    return _memory_rows(L.upsert_aliases(L.empty_memory(spark), _observations(spark, sf)))
+    return _memory_rows(L.upsert_aliases(L.empty_memory(spark), alias_observations(spark, sf)))
 
 
 @query("l2_alias_status", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + STATUS + " AS status FROM (SELECT *, CAST(l_quantity AS BIGINT) % 9 AS a, l_suppkey % 5 AS r FROM lineitem)")
@@ -197,7 +196,7 @@ def l2(spark, sf):
 
 @query("l3_alias_key", d.with_(OBS_KEYED, "SELECT seq, sc AS scope, rn AS raw_norm, wn AS rewrite_norm FROM ok WHERE rn <> '' AND wn <> '' AND rn <> wn"))
 def l3(spark, sf):
-    return L.alias_key(_observations(spark, sf)).select("seq", "scope", "raw_norm", "rewrite_norm")
+    return L.alias_key(alias_observations(spark, sf)).select("seq", "scope", "raw_norm", "rewrite_norm")
 
 
 @query(
@@ -209,14 +208,14 @@ def l4(spark, sf):
         c("event_type").alias("query"), F.array(F.concat(F.lit("k"), F.get_json_object("props", "$.k")), F.lit("other")).alias("rewrites"), c("event_type").alias("intent"),
         F.when(c("user_id") % 2 == 0, "alias-memory").otherwise("agent").alias("source"), c("event_id").alias("seq"), c("ts").alias("seen_at"),
     )
-    return L.proposals_to_observations(proposals).select("seq", "raw_query", "rewrite", "scope")
+    return L.proposals_toalias_observations(proposals).select("seq", "raw_query", "rewrite", "scope")
 
 
 @query("l5_stream_upsert", L_SQL)
 def l5(spark, sf):
-    path, mark = _folder(), _folder()
+    path, mark = _folder(spark), _folder(spark)
     _, raw = _event_stream(spark, sf)
-    done = stream.stream_upsert(_observations(spark, sf, raw), path, mark)
+    done = stream.stream_upsert(alias_observations(spark, sf, raw), path, mark)
     done.awaitTermination()
     last = max(p["batchId"] for p in done.recentProgress)
     return _memory_rows(spark.read.schema(L.MEMORY).parquet(f"{path}/v={last}"))

@@ -153,14 +153,15 @@ def j11(spark, sf):
 
 @query("j12_search")
 def j12(spark, sf):
-    """Search over the shared suggestion run: merge with keyword hits, filter, order."""
-    from prefixlake.plans.search import _keyword_places
+    """Search over the shared suggestion run, with radius, box and category filters where a request sets them."""
+    from prefixlake.plans.search import search_places, with_filters
 
     run = S.suggested(spark, sf)
-    asked = run.contexts.select("request_id", "q", "norm", "lat", "lon", c("city").alias("want_city"))
-    merged = J.merge_places(J.to_places(run.ranked), _keyword_places(asked.select("request_id", "q"), run.forms, inp(spark, sf, "pois")))
-    rows = J.rescore_proximity(merged.join(asked.select("request_id", "norm", c("lat").alias("r_lat"), c("lon").alias("r_lon"), "want_city"), "request_id"))
-    return J.order_search(J.scope_city(rows), 10).select("request_id", "rank", "id", "name", "score", "distance_m")
+    asked = with_filters(run.contexts.select("request_id", "q", "lat", "lon", "city")).withColumns({
+        "radius_m": F.when(c("lat").isNotNull() & (c("request_id") % 3 == 0), 60000.0), "bbox": F.when(c("request_id") % 5 == 0, "102,8,107,20"),
+        "want_category": F.when(c("request_id") % 7 == 0, "Khách sạn"),
+    })
+    return search_places(asked, run.ranked, run.forms, inp(spark, sf, "pois"), 10).select("request_id", "rank", "id", "name", "score", "distance_m")
 
 
 ROUTE = "SELECT o_custkey AS route_id, o_orderkey AS seq, 8 + CAST((o_orderkey * 37) % 1500 AS DOUBLE) / 100 AS lat, 102 + CAST((o_orderkey * 53) % 700 AS DOUBLE) / 100 AS lon, CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'pedestrian' WHEN 1 THEN 'bicycle' ELSE 'auto' END AS mode FROM {orders}"

@@ -211,7 +211,7 @@ def k11(spark, sf):
 
 @query("k12_tuning_proposals")
 def k12(spark, sf):
-    asked = cases(spark, sf).withColumn("input_prefix", F.lower(F.left("case_id", F.lit(7))))
+    asked = cases(spark, sf).withColumn("input_prefix", F.lower("case_id"))
     return L.tuning_proposals(weak(spark, sf), asked, suggestions(spark, sf, 8), S.catalog(spark, sf))
 
 

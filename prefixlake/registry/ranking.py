@@ -214,11 +214,8 @@ def e11(spark, sf):
 
 @query("e12_suggest")
 def e12(spark, sf):
-    ranked = S.suggested(spark, sf).ranked.select(c("request_id").alias("rep"), "rank", "id", "text", "type", "source", "score")
-    keys = plan.with_defaults(S.requests(spark, sf).drop("user_id", "cust")).select("request_id", *plan.CONTEXT)
-    members = keys.select("request_id", F.struct(*plan.CONTEXT).alias("k"))
-    reps = members.groupBy("k").agg(F.min("request_id").alias("rep"))
-    return members.join(reps, members["k"].eqNullSafe(reps["k"])).select("request_id", "rep").join(ranked, "rep").drop("rep")
+    ranked = plan.fan_out(S.requests(spark, sf).drop("cust"), S.suggested(spark, sf).ranked)
+    return ranked.select("request_id", "rank", "id", "text", "type", "source", "score")
 
 
 @query("e13_top_texts")

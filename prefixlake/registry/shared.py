@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefixlake.operators.aliases import empty_memory, upsert_aliases
 from prefixlake.operators.entities import extract_entities
 from prefixlake.operators.lexicon import Lexicon, build_lexicon
 from prefixlake.operators.understand import expand_queries, understand
@@ -58,5 +59,11 @@ def model(spark, sf) -> SearchModel:
 
 
 def suggested(spark, sf) -> Suggested:
-    """One full run over all requests (without users)."""
-    return stage(spark, sf, "suggested", lambda: run(requests(spark, sf).drop("user_id", "cust"), model(spark, sf)))
+    """One full run over all requests: known users get their history, weak queries the rewrites learned from events."""
+    def build() -> Suggested:
+        from prefixlake.registry.behaviour import NOW, alias_observations
+
+        memory = upsert_aliases(empty_memory(spark), alias_observations(spark, sf))
+        return run(requests(spark, sf).drop("cust"), model(spark, sf), events=inp(spark, sf, "events"), now=F.lit(NOW).cast("timestamp"), memory=memory)
+
+    return stage(spark, sf, "suggested", build)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from prefixlake.operators import phrases as G
 from prefixlake.registry import duck as d
 from prefixlake.registry.core import inp, query, table
 from prefixlake.rules import INTENT_ALIASES
+from prefixlake.session import work_folder
 from prefixlake.sources import readers as R
 from prefixlake.sources import sinks as K
 from prefixlake.sources import validate as V
@@ -18,12 +17,12 @@ from prefixlake.sources.tables import pick
 c = F.col
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-files-") + "/data"
+def _folder(spark) -> str:
+    return work_folder(spark, "files")
 
 
 def _csv(df, columns) -> str:
-    path = _folder()
+    path = _folder(df.sparkSession)
     df.select(*columns).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
@@ -82,12 +81,12 @@ def a10(spark, sf):
 
 @query("a11_read_events", "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS query, count(*) AS n FROM events WHERE value >= 5 GROUP BY ALL")
 def a11(spark, sf):
-    path = _folder()
+    path = _folder(spark)
     table(spark, sf, "events").select(
         c("user_id").cast("string").alias("userId"), c("event_type").alias("query"), F.when(c("value") >= 5, F.lit("x")).alias("selectedText"), F.lit("POI Search").alias("selectedType"),
         c("ts").cast("string").alias("occurredAt"),
     ).write.json(path)
-    return spark.read.schema(R.EVENT_SCHEMA).json(path).dropna(subset=["userId", "query", "selectedText"]).groupBy(c("userId").alias("user_id"), "query").agg(F.count("*").alias("n"))
+    return R.read_events(spark, path).groupBy("user_id", "query").agg(F.count("*").alias("n"))
 
 
 WILD = (
@@ -148,20 +147,20 @@ def a16(spark, sf):
 @query("a17_write_phrase_model")
 def a17(spark, sf):
     corpus = inp(spark, sf, "pairs").select(c("suggestion_id").alias("phrase_id"), F.split(F.lower("suggestion_text"), " ").alias("words"))
-    path = _folder()
+    path = _folder(spark)
     K.write_phrase_model(G.PhraseModel(corpus, G.transitions(corpus)), path)
     return K.read_phrase_model(spark, path).transitions.select("context", "next", "n")
 
 
 @query("a18_write_embeddings", "SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dims FROM embeddings")
 def a18(spark, sf):
-    path = _folder()
+    path = _folder(spark)
     K.write_embeddings(table(spark, sf, "embeddings").select(c("vec_id").cast("string").alias("id"), F.lit("poi").alias("kind"), c("embedding").alias("vector")), path, 64)
     return K.read_embeddings(spark, path, 64).select("id", F.size("vector").cast("bigint").alias("dims"))
 
 
 @query("a19_write_report", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def a19(spark, sf):
-    path = _folder()
+    path = _folder(spark)
     K.write_report(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), path)
     return spark.read.schema("event_type string, n bigint").json(path)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "prefixlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +39,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which the driver and all executors see."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches reuse, and cut its lineage.
 
@@ -55,14 +61,3 @@ def tune(spark: SparkSession) -> SparkSession:
     if spark.conf.get(key, "1048576b").lower() in ("1048576b", "1mb", "1m"):
         spark.conf.set(key, "32k")
     return spark
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than it must."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only behind a row check; a larger side keeps the shuffled join."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-

@@ -101,10 +101,9 @@ def canonical_intent(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """File order is lost in a distributed read, so the id column orders rows for ties."""
-    digits = F.regexp_extract(F.col(key), "(\\d+)", 1).try_cast("bigint")
-    return df.withColumn("row_ord", F.coalesce(digits, F.xxhash64(key)))
+def _numbered(df: DataFrame) -> DataFrame:
+    """A unique ordinal per row; within a file it follows the order of the lines."""
+    return df.withColumn("row_ord", F.monotonically_increasing_id())
 
 
 def read_pois(spark: SparkSession, path: str) -> DataFrame:
@@ -112,21 +111,21 @@ def read_pois(spark: SparkSession, path: str) -> DataFrame:
     typed = strict(
         raw, {"latitude": "double", "longitude": "double", "rating": "double", "review_count": "bigint", "popularity_score": "bigint"}, "poi_id", path
     )
-    return _numbered(typed.withColumn("tags", split_list(F.col("tags"))), "poi_id")
+    return _numbered(typed.withColumn("tags", split_list(F.col("tags"))))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     typed = strict(read_csv(spark, path, PAIR_COLUMNS), {"score": "double", "query_frequency": "bigint"}, "suggestion_id", path)
-    return _numbered(typed.withColumn("suggestion_type", canonical_intent(F.col("suggestion_type"))), "suggestion_id")
+    return _numbered(typed.withColumn("suggestion_type", canonical_intent(F.col("suggestion_type"))))
 
 
 def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, ABBREVIATION_COLUMNS).withColumn("row_ord", F.xxhash64("abbreviation", "expanded_form"))
+    return _numbered(read_csv(spark, path, ABBREVIATION_COLUMNS))
 
 
 def read_popular(spark: SparkSession, path: str) -> DataFrame:
     typed = strict(read_csv(spark, path, POPULAR_COLUMNS), {"monthly_frequency": "bigint"}, "query_id", path)
-    return _numbered(typed.withColumn("intent_type", canonical_intent(F.col("intent_type"))), "query_id")
+    return _numbered(typed.withColumn("intent_type", canonical_intent(F.col("intent_type"))))
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -134,9 +133,9 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("expected_top_suggestions", split_list(F.col("expected_top_suggestions")))
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Selection events from JSON; rows lacking one of the five required fields are dropped."""
-    raw = spark.read.schema(EVENT_SCHEMA).option("multiLine", True).json(path)
+def read_events(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """Selection events from JSON lines, or whole JSON documents; rows lacking one of the five required fields are dropped."""
+    raw = spark.read.schema(EVENT_SCHEMA).option("multiLine", not lines).json(path)
     needed = ["userId", "query", "selectedText", "selectedType", "occurredAt"]
     return raw.dropna(subset=needed).select(
         F.col("userId").alias("user_id"), "query", F.col("selectedText").alias("selected_text"), F.col("selectedType").alias("selected_type"),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixlake.operators.phrases import PhraseModel
-from prefixlake.session import small_enough
 
 
 def write_phrase_model(model: PhraseModel, path: str) -> None:
@@ -39,9 +38,8 @@ def read_embeddings(spark: SparkSession, path: str, dims: int) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report as one JSON file; larger tables are written in parts as they are."""
-    out = df.coalesce(1) if small_enough(df, 10_000) else df
-    out.write.mode("overwrite").json(path)
+    """A report as JSON lines, in parts as the rows come."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_weights(spark: SparkSession, weights: dict[str, float], path: str) -> None:

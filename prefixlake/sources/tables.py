@@ -107,7 +107,7 @@ SELECT o_orderkey AS request_id,
             THEN 102 + CAST((o_custkey % 20) * 91 % 700 AS DOUBLE) / 100 END AS lon,
        CASE CAST(o_custkey % 20 AS INT) WHEN 4 THEN '2024-05-01T23:30:00+07:00'
             WHEN 5 THEN '2024-05-01T07:30:00' WHEN 12 THEN '2024-05-01T22:15:00Z' END AS now,
-       CAST(o_custkey % 150 AS VARCHAR(20)) AS user_id, o_custkey AS cust
+       CASE WHEN o_custkey % 20 = 12 THEN CAST(o_custkey % 150 AS VARCHAR(20)) END AS user_id, o_custkey AS cust
 FROM {{orders}}""",
     "popular": f"""
 SELECT 'Q' || CAST(row_ord AS VARCHAR(20)) AS query_id, query_text,

@@ -19,12 +19,13 @@ RING = 120
 
 
 def ingest_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append validated events to a table, one folder per batch.
+    """Append events that are valid to a table, one folder per batch.
 
-    A replayed batch overwrites its own folder, so the table holds every event once.
+    Events lacking an id, a user or a type are left out. A replayed batch overwrites its own folder, so the table holds every event once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        needed = [c for c in ("event_id", "ingest_seq", "user_id", "event_type") if c in batch.columns]
+        batch.dropna(subset=needed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,6 +43,7 @@ class TermProfile(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ring = handle.getListState("ring", "seq bigint, ts_us bigint, terms string")
+        self.version = handle.getValueState("version", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         kept = list(self.ring.get()) if self.ring.exists() else []
@@ -49,6 +51,8 @@ class TermProfile(StatefulProcessor):
             kept += list(batch[["ingest_seq", "ts_us", "terms"]].itertuples(index=False, name=None))
         kept = sorted((int(s), int(t), str(x)) for s, t, x in kept)[-RING:]
         self.ring.put(kept)
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        self.version.update((version,))
         weights: dict[str, float] = {}
         for _, ts_us, terms in kept[-self.last_n:]:
             age = max(0.0, (self.now_us - ts_us) / 86_400_000_000.0)
@@ -56,18 +60,19 @@ class TermProfile(StatefulProcessor):
                 if term:
                     weights[term] = weights.get(term, 0.0) + math.exp(-age / self.days)
         yield pd.DataFrame(
-            {"user_key": key[0], "last_seq": kept[-1][0] if kept else 0, "term": list(weights), "weight": list(weights.values())}
+            {"user_key": key[0], "version": version, "last_seq": kept[-1][0] if kept else 0, "term": list(weights), "weight": list(weights.values())}
         )
 
     def close(self) -> None:
         pass
 
 
-PROFILE_SCHEMA = "user_key string, last_seq bigint, term string, weight double"
+PROFILE_SCHEMA = "user_key string, version bigint, last_seq bigint, term string, weight double"
 
 
 def live_profiles(stream: DataFrame, now_us: int, last_n: int = 80) -> DataFrame:
-    """Per-user term weights as a stream of updates; the newest ``last_seq`` of a user is current.
+    """Per-user term weights as a stream of updates; the highest ``version`` of a user is current,
+    also when a late batch changed what lies below the newest event.
 
     State is at most ``RING`` events per user, partitioned by user; a hot user costs one ring.
     """
