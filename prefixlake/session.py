@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,12 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hold_all(*builders: Callable[[], DataFrame]) -> list[DataFrame]:
+    """As :func:`hold` for independent intermediates, built, planned and run side by side."""
+    with ThreadPoolExecutor(max_workers=len(builders)) as pool:
+        return list(pool.map(lambda build: hold(build()), builders))
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Let adaptive execution keep small but CPU-heavy partitions apart."""
     key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
