@@ -23,7 +23,15 @@ from prefixlake.functions.text import (
     squash,
     words,
 )
-from prefixlake.rules import SEMANTIC_EXPANSIONS
+from prefixlake.rules import (
+    DISCOVERY_QUERY_WORDS,
+    LABEL_INTENTS,
+    NEARBY_CATEGORY_WORDS,
+    NEARBY_PLACE_WORDS,
+    NEARBY_QUERY_WORDS,
+    POI_CATEGORY_WORDS,
+    SEMANTIC_EXPANSIONS,
+)
 
 
 def edit_within(a: Column, b: Column, n: int) -> Column:
@@ -290,14 +298,8 @@ def strong_semantic_evidence(query: Column, document: Column) -> Column:
 def expected_intent(c: Column) -> Column:
     """Intent named by a free-form expected-type label; the first keyword wins."""
     norm = normalize_text(c)
-    rules = [
-        ("brand", "Brand Search"), ("category", "Category Search"), ("nearby", "Nearby Search"),
-        ("poi", "POI Search"), ("address", "Address Suggestion"), ("location", "Location Search"),
-        ("discovery", "Discovery Search"), ("navigation", "Navigation"),
-        ("attribute", "Attribute Search"), ("coordinate", "Coordinate Search"),
-    ]
     out = F.when(F.lit(False), F.lit(""))
-    for word, intent in rules:
+    for word, intent in LABEL_INTENTS:
         out = out.when(F.contains(norm, F.lit(word)), F.lit(intent))
     return out.otherwise(F.lit("Ambiguous"))
 
@@ -305,8 +307,8 @@ def expected_intent(c: Column) -> Column:
 def category_intent(c: Column) -> Column:
     norm = normalize_text(c)
     return (
-        F.when(has_any(norm, ["atm", "benh vien", "cay xang", "tram xang"]), F.lit("Nearby Search"))
-        .when(has_any(norm, ["san bay", "ben xe", "dai hoc"]), F.lit("POI Search"))
+        F.when(has_any(norm, NEARBY_CATEGORY_WORDS), F.lit("Nearby Search"))
+        .when(has_any(norm, POI_CATEGORY_WORDS), F.lit("POI Search"))
         .otherwise(F.lit("Category Search"))
     )
 
@@ -323,10 +325,10 @@ def poi_suggestion_type(
     )
     full = normalize_text(F.concat_ws(" ", name, address))
     return (
-        F.when(has_any(expanded, ["gan day", "gan nhat"]), F.lit("Nearby Search"))
-        .when(has_any(expanded, ["gan bien", "24 7", "hoc bai", "an dem"]), F.lit("Discovery Search"))
+        F.when(has_any(expanded, NEARBY_QUERY_WORDS), F.lit("Nearby Search"))
+        .when(has_any(expanded, DISCOVERY_QUERY_WORDS), F.lit("Discovery Search"))
         .when(prefix_phrase_match(full, norm), F.lit("Address Suggestion"))
-        .when(has_any(n_category, ["atm", "cay xang", "benh vien"]), F.lit("Nearby Search"))
+        .when(has_any(n_category, NEARBY_PLACE_WORDS), F.lit("Nearby Search"))
         .when((F.coalesce(brand, F.lit("")) != "") & brand_hit, F.lit("Brand Search"))
         .when(F.exists(F.split(n_category, " "), lambda t: F.array_contains(tokens, t)), F.lit("Category Search"))
         .otherwise(F.lit("POI Search"))

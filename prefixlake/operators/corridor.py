@@ -10,6 +10,7 @@ from prefixlake.functions.geo import haversine_m, lat_band, lon_cell, lon_cells_
 from prefixlake.functions.num import clamp01, half_up, round3
 from prefixlake.functions.text import strip_accents
 from prefixlake.operators.places import range_pairs
+from prefixlake.rules import ROUTE_CAFE, ROUTE_CHARGER, ROUTE_DETOUR, ROUTE_MINUTES, ROUTE_OPEN_NOW
 
 TRAVEL_SPEED = 19.44
 
@@ -137,7 +138,7 @@ def route_constraints(requests: DataFrame, locations: DataFrame) -> DataFrame:
     meets the texts through the first three letters of the alias.
     """
     text = fold(F.col("query"))
-    minutes = F.regexp_extract("text", "(\\d{1,2})\\s*(?:minute|min|minutes|phut|phút)", 1).try_cast("int")
+    minutes = F.regexp_extract("text", ROUTE_MINUTES, 1).try_cast("int")
     df = requests.select("request_id", text.alias("text"))
     from prefixlake.functions.text import grams
     from prefixlake.operators.blocking import signature_join
@@ -149,12 +150,12 @@ def route_constraints(requests: DataFrame, locations: DataFrame) -> DataFrame:
     named = signature_join(names, texts).filter(F.contains("text", F.col("alias"))).groupBy("text").agg(
         F.min_by("location_id", "priority").alias("destination")
     )
-    open_now = F.col("text").rlike("open now|đang mở|mo cua|mở cửa")
+    open_now = F.col("text").rlike(ROUTE_OPEN_NOW)
     return df.join(named, "text", "left").select(
-        "request_id", F.when(F.col("text").rlike("charger|charging|ev|sạc|sac"), "ev-charger").otherwise("place").alias("facility"),
-        open_now.alias("want_open"), F.when(F.col("text").rlike("coffee|cafe|cà phê|ca phe"), "cafe").alias("amenity"),
+        "request_id", F.when(F.col("text").rlike(ROUTE_CHARGER), "ev-charger").otherwise("place").alias("facility"),
+        open_now.alias("want_open"), F.when(F.col("text").rlike(ROUTE_CAFE), "cafe").alias("amenity"),
         F.coalesce(F.least(F.lit(60), F.greatest(F.lit(1), minutes)), F.lit(10)).alias("max_detour_min"),
-        F.when(F.col("text").rlike("detour|minute|min|phút|phut"), "hard").otherwise("soft").alias("detour_importance"), "destination",
+        F.when(F.col("text").rlike(ROUTE_DETOUR), "hard").otherwise("soft").alias("detour_importance"), "destination",
     )
 
 

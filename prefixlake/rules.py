@@ -6,6 +6,7 @@ logic: every one is stated as it is used, in its natural (priority) order.
 
 from __future__ import annotations
 
+# fixed values: intents and entity kinds
 INTENTS = [
     "Brand Search", "Category Search", "Nearby Search", "POI Search", "Address Suggestion",
     "Location Search", "Discovery Search", "Navigation", "Attribute Search",
@@ -31,6 +32,7 @@ INTENT_ALIASES = {
     "Address Suggestions": "Address Suggestion",
 }
 
+# fixed values: scales of popularity factors, and the radius within which a point has a city
 MAX_QUERY_FREQUENCY = 15000.0
 MAX_REVIEWS = 10000.0
 CITY_RADIUS_M = 60000.0
@@ -344,6 +346,7 @@ COMPACT_FORMS = [
     ("duongden", ["đường đến"], "Navigation", "navigation", "đường đến", 0.9, 0.88,
      "duongden resembles Vietnamese no-space navigation command duong den"),
 ]
+# fixed values: terms a rewrite must keep
 PROTECTED_TERMS = [
     "vincom", "vinmec", "vietcombank", "highlands", "noi bai", "ben thanh", "nguyen hue",
 ]
@@ -377,8 +380,29 @@ HOURS_RULES = [
     (["quan ca phe", "cafe", "coffee", "nha hang", "pho", "fast food"], "07:00-22:00", 0.58),
     (["khach san", "hotel", "san bay", "ben xe"], "00:00-24:00", 0.6),
 ]
+# fixed values: hours of other places, and the order in which evidence counts
 HOURS_DEFAULT = ("09:00-22:00", 0.48)
 EVIDENCE_PRIORITY = [
     "tag:wifi", "tag:gan-bien", "tag:24-7", "tag:yen-tinh", "tag:lam-viec", "quality:",
     "popularity:",
 ]
+
+# fixed values: word of an expected-type label -> intent, the first word wins
+LABEL_INTENTS = [
+    ("brand", "Brand Search"), ("category", "Category Search"), ("nearby", "Nearby Search"),
+    ("poi", "POI Search"), ("address", "Address Suggestion"), ("location", "Location Search"),
+    ("discovery", "Discovery Search"), ("navigation", "Navigation"),
+    ("attribute", "Attribute Search"), ("coordinate", "Coordinate Search"),
+]
+# fixed values: words of a category or query that decide a suggestion's type
+NEARBY_CATEGORY_WORDS = ["atm", "benh vien", "cay xang", "tram xang"]
+POI_CATEGORY_WORDS = ["san bay", "ben xe", "dai hoc"]
+NEARBY_QUERY_WORDS = ["gan day", "gan nhat"]
+DISCOVERY_QUERY_WORDS = ["gan bien", "24 7", "hoc bai", "an dem"]
+NEARBY_PLACE_WORDS = ["atm", "cay xang", "benh vien"]
+# fixed values: patterns of route wishes
+ROUTE_MINUTES = "(\\d{1,2})\\s*(?:minute|min|minutes|phut|phút)"
+ROUTE_OPEN_NOW = "open now|đang mở|mo cua|mở cửa"
+ROUTE_CHARGER = "charger|charging|ev|sạc|sac"
+ROUTE_CAFE = "coffee|cafe|cà phê|ca phe"
+ROUTE_DETOUR = "detour|minute|min|phút|phut"
