@@ -4,9 +4,11 @@ Every document becomes a set of five-word shingles; rows with one set form a cla
 with one representative. A run starts a tree whose nodes choose, by the node's path alone, each
 of the 128 min-hash tokens with probability 1 / (threshold * 128), and hand a set on to the child
 (path, chosen token): similar sets stay together with the same chance per level, others part.
-Buckets of at most SMALL sets are compared by brute force on their signatures, larger ones are
-split again; what is still large after DEPTH levels holds sets that agree on every token drawn.
-RUNS trees give the recall: a pair at the threshold meets in a tree with probability 0.63 in a
+Buckets of at most SMALL sets are compared by brute force on their signatures. In a larger one
+each set is compared with one pivot: likely partners of it are joined to it, and those that
+nearly equal it leave the bucket, since a partner of theirs is a likely partner of the pivot too
+(Jaccard distance is a metric); the others are split again. What is still large after DEPTH
+levels, sets that agree on every token drawn, is joined to the pivot whole. RUNS trees give the recall: a pair at the threshold meets in a tree with probability 0.63 in a
 first-level bucket and 0.37 in a third-level one, so 16 runs miss less than one in a thousand.
 
 The candidates fall into connected groups. Within a group the exact similarity of *all* pairs of
@@ -33,11 +35,15 @@ from prefixlake.llm.common import chunks_of, stored
 from prefixlake.llm.words import mix, shingle_sets
 
 WIDTH, THRESHOLD = 5, 0.8
-TOKENS, RUNS, DEPTH, SMALL = 128, 16, 5, 64
+TOKENS, RUNS, DEPTH, SMALL = 128, 16, 4, 64
 #: Signatures that agree in this share of tokens or more are candidates: four deviations below the threshold.
 LIKELY = 0.66
+#: Sets that agree with a pivot in this share of tokens leave its bucket.
+SAME = 0.9
 #: Sets and shingles of a block of the exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Shingles of the small groups that are compared together.
+BIN_SHINGLES = 1 << 18
 #: Shingle columns multiplied at once.
 COLUMNS = 4096
 SPAN = 1 << 20
@@ -93,19 +99,27 @@ def _sketch(text: str, width: int, threshold: float, runs: int):
 
 
 def _split(threshold: float):
-    """(bucket, rep, tokens) -> (child bucket, rep)."""
+    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null), and (null, rep, pivot) for likely partners."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
+            rep, pivot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "pivot"))
+            tokens, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in ("tokens", "pivot_tokens"))
+            agree = (tokens == other).mean(axis=1)
+            joined = np.flatnonzero((agree >= LIKELY) & (rep != pivot))
+            stay = np.flatnonzero((agree < SAME) | (rep == pivot))
+            path, rep_, tokens = path[stay], rep[stay], tokens[stay]
             nodes, inverse = np.unique(path, return_inverse=True)
             node, place = chosen(nodes, threshold)
             begin, end = np.searchsorted(node, inverse), np.searchsorted(node, inverse, side="right")
             many = end - begin
             row = np.repeat(np.arange(len(path)), many)
             at = place[np.repeat(begin, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
-            yield pa.RecordBatch.from_arrays([pa.array(_child(path[row], at, tokens[row, at]).view(np.int64)), pa.array(rep[row])], names=["bucket", "rep"])
+            child = _child(path[row], at, tokens[row, at]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*child.tolist(), *[None] * len(joined)], pa.int64()), pa.array(np.concatenate([rep_[row], rep[joined]])), pa.array([*[None] * len(row), *pivot[joined].tolist()], pa.int64())],
+                names=["bucket", "rep", "pivot"],
+            )
 
     return run
 
@@ -150,25 +164,30 @@ def _compare(likely: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): the smallest node it is connected with."""
+    """(node, root) for every node of ``edges`` (a, b): the smallest node it is connected with.
+
+    Labels move to neighbours and then to the label's own label; two such rounds make one table.
+    """
     both = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+
+    def better(labels: DataFrame) -> DataFrame:
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", "old", F.least("root", "near").alias("root"))
         up = lower.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        jumped = stored(lower.join(up, lower["root"] == up["up"], "left").select("node", "old", F.coalesce("top", "root").alias("root")))
-        labels = jumped.select("node", "root")
-        if jumped.filter("old <> root").isEmpty():
-            return labels
+        return lower.join(up, lower["root"] == up["up"], "left").select("node", "old", F.coalesce("top", "root").alias("root"))
+
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    while True:
+        labels = stored(better(better(labels.select("node", F.col("root").alias("old"), "root"))))
+        if labels.filter("old <> root").isEmpty():
+            return labels.select("node", "root")
 
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(node, root): connected groups of likely partners among ``reps`` (rep, tokens, buckets)."""
-    rows = stored(reps.select("rep", F.explode("buckets").alias("bucket")))
-    found = []
+    rows, found = reps.select("rep", F.explode("buckets").alias("bucket")), []
     for level in range(1, depth + 1):
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
         rows = stored(rows.join(counts, "bucket"))
         lists = rows.filter(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
         members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps.select("rep", "tokens"), "rep")
@@ -177,10 +196,12 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
         if large.isEmpty():
             break
         if level == depth:
-            star = large.groupBy("bucket").agg(F.min("rep").alias("b"))
-            found.append(large.join(star, "bucket").select(F.col("rep").alias("a"), "b"))
+            found.append(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         else:
-            rows = stored(large.select("bucket", "rep").join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long"))
+            pivots = reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+            parts = stored(large.join(reps.select("rep", "tokens"), "rep").join(pivots, "pivot").mapInArrow(_split(threshold), "bucket long, rep long, pivot long"))
+            found.append(parts.filter("bucket is null").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            rows = parts.filter("bucket is not null").select("rep", "bucket")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -271,12 +292,12 @@ def jaccard_join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", th
     groups = stored(candidate_groups(reps, threshold).join(reps.select(F.col("rep").alias("node"), "copies", "n"), "node"))
     # exact comparison within each group: blocks of bounded size, small groups several to a task
     shape = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
-    bins = max(1, -(-(groups.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    bins = max(1, -(-(groups.agg(F.sum("n")).first()[0] or 0) // BIN_SHINGLES))
     dealt = groups.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))))
     where = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", F.lit("own")))
     dealt = dealt.select(F.col("node").alias("__row"), "root", "copies", "block", where.alias("bin"), "pair.i", "pair.j")
-    loaded = dealt.join(base.select("__row", F.col(text).alias("__text")), "__row").withColumnRenamed("__row", "rep")
+    loaded = dealt.hint("merge").join(base.select("__row", F.col(text).alias("__text")), "__row").withColumnRenamed("__row", "rep")
     links = stored(loaded.groupBy("bin", "i", "j").applyInArrow(_verify(threshold, "__text", width), "a long, b long, set_links long, doc_links long"))
     degrees = links.groupBy(F.col("a").alias("rep")).agg(F.sum("set_links").alias("__sl"), F.sum("doc_links").alias("__dl"))
     roots = components(links.select("a", "b")).select(F.col("node").alias("rep"), "root")
