@@ -31,8 +31,12 @@ def folded(text: Column) -> Column:
 
 
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with the integer name of ``key``: its number among the sorted distinct values."""
-    names = stored(rows.select(*key).distinct().orderBy(*key).withColumn("__name", F.monotonically_increasing_id()))
+    """``rows`` with the integer name of ``key``: its number among the distinct values.
+
+    The distinct values are dealt out by their hash and sorted within each partition; the name
+    is the partition's number followed by the place in it, fixed by storing the table.
+    """
+    names = stored(rows.select(*key).distinct().sortWithinPartitions(*key).withColumn("__name", F.monotonically_increasing_id()))
     return rows.join(names, key).drop(*key)
 
 
@@ -63,12 +67,12 @@ def exact_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", bl
     # lower-casing A-Z leaves the place of every character, so ends are cut before it
     ends = {"__length": F.octet_length(value), "__head": F.translate(F.substring(value, 1, 64), _UPPER, _LOWER), "__tail": F.translate(F.right(value, F.lit(64)), _UPPER, _LOWER)}
     several = docs.select(*[c.alias(k) for k, c in ends.items()]).groupBy(*ends).agg(F.count("*").alias("__many")).filter("__many > 1").drop("__many")
-    names0 = stored(several.orderBy(*ends).withColumn("__name0", F.monotonically_increasing_id()))
+    names0 = stored(several.sortWithinPartitions(*ends).withColumn("__name0", F.monotonically_increasing_id()))
     keep = [c for c in docs.columns if c not in results and (carry is None or c in carry)]
     rest = [c for c in keep if c != text]
     wide = docs.select(F.struct(*[F.col(c) for c in rest]).alias("__rest") if rest else F.struct(F.lit(1).alias("one")).alias("__rest"), F.col(row_id).alias("__id"), F.col(text).alias("__text"), *[c.alias(k) for k, c in ends.items()])
     base = stored(
-        wide.join(names0, list(ends), "left").drop("__head", "__tail")
+        wide.join(names0.hint("merge"), list(ends), "left").drop("__head", "__tail")
         .select("*", folded(F.col("__text")).alias("__bytes")).select("*", F.sha2("__bytes", 256).alias("__sha"), F.monotonically_increasing_id().alias("__row"))
         .withColumn("__bytes", F.when(F.col("__name0").isNotNull(), F.col("__bytes")))
     )
