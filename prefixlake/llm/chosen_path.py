@@ -166,21 +166,21 @@ def _compare(likely: float):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the smallest node it is connected with.
 
-    Labels move to neighbours and then to the label's own label; two such rounds make one table.
+    Every node moves to its smallest neighbour, the edges move with their ends, loops vanish;
+    what is left, far fewer edges between the nodes moved to, goes round again.
     """
-    both = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-
-    def better(labels: DataFrame) -> DataFrame:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", "old", F.least("root", "near").alias("root"))
-        up = lower.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        return lower.join(up, lower["root"] == up["up"], "left").select("node", "old", F.coalesce("top", "root").alias("root"))
-
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    left, roots = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct()), None
     while True:
-        labels = stored(better(better(labels.select("node", F.col("root").alias("old"), "root"))))
-        if labels.filter("old <> root").isEmpty():
-            return labels.select("node", "root")
+        step = stored(left.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        if roots is None:
+            roots = step.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        else:
+            roots = roots.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("m", "root").alias("root"))
+        moved = left.join(step, "a").select(F.col("m").alias("x"), "b")
+        moved = moved.join(step.select(F.col("a").alias("b"), "m"), "b").select(F.col("x").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        left = stored(moved.distinct())
+        if left.isEmpty():
+            return roots
 
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
@@ -261,6 +261,7 @@ def _verify(threshold: float, text: str, width: int):
         texts = [t or "" for t in table.column(text).to_pylist()]
         sets = [s for a, b in chunks_of(texts, [len(t) for t in texts], SPAN) for s in shingle_sets(texts[a:b], width)]
         i, j = key[1].as_py(), key[2].as_py()
+        many = key[3].as_py() > 1
         out: list[tuple] = []
         bounds = np.flatnonzero(np.diff(root, prepend=root[0] - 1))  # a group is never empty
         for a, b in zip(bounds, np.append(bounds, len(root))[1:], strict=True):
@@ -268,7 +269,7 @@ def _verify(threshold: float, text: str, width: int):
             p, q = at[block[a:b] == i].tolist(), at[block[a:b] == j].tolist()
             out += pair(p, q, i == j, rep, copies, sets)
         columns = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("a", "b", "set_links", "doc_links"), columns, strict=True)})
+        return pa.table({n: pa.array(list(c), pa.int64()) for n, c in zip(("a", "b", "set_links", "doc_links"), columns, strict=True)} | {"many": pa.array([many] * len(out), pa.bool_())})
 
     return run
 
@@ -296,11 +297,15 @@ def jaccard_join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", th
     dealt = groups.join(shape, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))))
     where = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", F.lit("own")))
-    dealt = dealt.select(F.col("node").alias("__row"), "root", "copies", "block", where.alias("bin"), "pair.i", "pair.j")
+    dealt = dealt.select(F.col("node").alias("__row"), "root", "copies", "block", "blocks", where.alias("bin"), "pair.i", "pair.j")
     loaded = dealt.hint("merge").join(base.select("__row", F.col(text).alias("__text")), "__row").withColumnRenamed("__row", "rep")
-    links = stored(loaded.groupBy("bin", "i", "j").applyInArrow(_verify(threshold, "__text", width), "a long, b long, set_links long, doc_links long"))
+    links = stored(loaded.groupBy("bin", "i", "j", "blocks").applyInArrow(_verify(threshold, "__text", width), "a long, b long, set_links long, doc_links long, many boolean"))
     degrees = links.groupBy(F.col("a").alias("rep")).agg(F.sum("set_links").alias("__sl"), F.sum("doc_links").alias("__dl"))
-    roots = components(links.select("a", "b")).select(F.col("node").alias("rep"), "root")
+    # a group in one block has its classes already; those in several are put together from their blocks
+    roots = links.filter("not many").select(F.col("a").alias("rep"), F.col("b").alias("root"))
+    pieces = links.filter("many")
+    if not pieces.isEmpty():
+        roots = roots.union(components(pieces.select("a", "b")).select(F.col("node").alias("rep"), "root"))
     classes = stored(sets.join(roots, "rep", "left").join(degrees, "rep", "left").select("__set", "__first", "__copies", F.coalesce("root", "rep").alias("__class"), F.coalesce("__sl", F.lit(0)).alias("__sl"), F.coalesce("__dl", F.lit(0)).alias("__dl")))
     whole = classes.groupBy("__class").agg(F.min("__first").alias("__low"), F.sum("__copies").alias("__size"))
     out = base.drop("__n", "__tokens", "__buckets").join(classes.join(whole, "__class"), "__set", "left")

@@ -286,3 +286,16 @@ def test_mix_of_awkward_rows(spark):
     assert len(rows) == docs.count() and set(docs.columns) <= set(out.columns)
     _check_mix([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], rows, 0.05)
     assert cube_mix.mix_sources(empty_documents(spark)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(45)] + [(7, 7)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+    got = {r["node"]: r["root"] for r in chosen_path.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+    assert chosen_path.components(spark.createDataFrame([], "a long, b long")).count() == 0
