@@ -5,9 +5,9 @@ with one representative. A run starts a tree whose nodes choose, by the node's p
 of the 128 min-hash tokens with probability 1 / (threshold * 128), and hand a set on to the child
 (path, chosen token): similar sets stay together with the same chance per level, others part.
 Buckets of at most SMALL sets are compared by brute force on their signatures. In a larger one
-each set is compared with one pivot: likely partners of it are joined to it, and those that
-nearly equal it leave the bucket, since a partner of theirs is a likely partner of the pivot too
-(Jaccard distance is a metric); the others are split again. What is still large after DEPTH
+each set is compared with one pivot: sets that share NEAR of its tokens are joined to it, and those
+that nearly equal it leave the bucket, since their likely partners share NEAR of the pivot's tokens
+and are joined to it too (the share of differing tokens is a metric); the others are split again. What is still large after DEPTH
 levels, sets that agree on every token drawn, is joined to the pivot whole. RUNS trees give the recall: a pair at the threshold meets in a tree with probability 0.63 in a
 first-level bucket and 0.37 in a third-level one, so 16 runs miss less than one in a thousand.
 
@@ -40,6 +40,9 @@ TOKENS, RUNS, DEPTH, SMALL = 128, 16, 4, 64
 LIKELY = 0.66
 #: Sets that agree with a pivot in this share of tokens leave its bucket.
 SAME = 0.9
+#: In a large bucket, sets that agree with the pivot in this share of tokens are joined to it. Tokens that
+#: differ are a metric: a likely partner of a set that leaves agrees with the pivot in no smaller a share.
+NEAR = SAME + LIKELY - 1
 #: Sets and shingles of a block of the exact comparison.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Shingles of the small groups that are compared together.
@@ -99,14 +102,14 @@ def _sketch(text: str, width: int, threshold: float, runs: int):
 
 
 def _split(threshold: float):
-    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null), and (null, rep, pivot) for likely partners."""
+    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null), and (null, rep, pivot) for sets near the pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
             rep, pivot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "pivot"))
             tokens, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in ("tokens", "pivot_tokens"))
             agree = (tokens == other).mean(axis=1)
-            joined = np.flatnonzero((agree >= LIKELY) & (rep != pivot))
+            joined = np.flatnonzero((agree >= NEAR) & (rep != pivot))
             stay = np.flatnonzero((agree < SAME) | (rep == pivot))
             path, rep_, tokens = path[stay], rep[stay], tokens[stay]
             nodes, inverse = np.unique(path, return_inverse=True)
