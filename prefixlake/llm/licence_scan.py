@@ -10,13 +10,20 @@ temperature with the best likelihood. A prediction stands if its calibrated prob
 MIN_CHANCE, and is confirmed if the paragraph holds MIN_COVER of the word pairs of a template of
 that family.
 
+Statements wrapped over lines, and further families in one line, are found in windows of words: the
+runs of lines between lines without a word are searched for stretches that hold MIN_COVER of the
+word pairs of any template, and each stretch, with MARGIN words around it, is classified by itself.
+Signs that mark comments are no words, so they do not part a statement. What a stretch over several
+lines explains replaces the findings of those lines, unless one of them is confirmed for its family.
+
 Defined results: null and empty texts have no finding; a text with repeated paragraphs has one
-finding for each; positions count code points of the text as it is; without a corpus the unknown
+finding for each; a stretch is named by the line it starts in; positions count code points of the text as it is; without a corpus the unknown
 class learns from shuffled words alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -53,6 +60,9 @@ SAMPLE_ROWS, SAMPLE_WORDS = 2000, 60
 VARIATIONS = 60
 MIN_CHANCE, MIN_COVER = 0.5, 0.6
 ORDERS = (1, 2, 3)
+#: Words around a stretch that are classified with it: they may hold what tells families apart.
+MARGIN = 3
+WORD = re.compile("[A-Za-z0-9_\u0080-\U0010ffff]+")
 SPAN = 1 << 20
 _U = np.uint64
 
@@ -176,6 +186,96 @@ def classify(model: Model, paragraphs: list[str]) -> list[tuple[int, str, float,
     return out
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Where the runs of lines that hold a word begin and end."""
+    at, begin = 0, None
+    for line in text.split("\n"):
+        if WORD.search(line):
+            begin = at if begin is None else begin
+            end = at + len(line)
+        elif begin is not None:
+            yield begin, end
+            begin = None
+        at += len(line) + 1
+    if begin is not None:
+        yield begin, end
+
+
+def _stretches(pairs: np.ndarray, template: np.ndarray) -> list[tuple[int, int, int]]:
+    """(word pairs held, first, last word) of the best stretches of a block that do not overlap."""
+    need, width = max(1, int(np.ceil(MIN_COVER * len(template)))), 2 * len(template) + 4
+    at = np.flatnonzero(np.isin(pairs, template))
+    which = np.searchsorted(template, pairs[at])
+    found = []
+    for i in range(len(at)):
+        seen: set[int] = set()
+        last = i
+        for j in range(i, len(at)):
+            if at[j] - at[i] >= width:
+                break
+            if which[j] not in seen:
+                seen.add(which[j])
+                last = j
+        if len(seen) >= need:
+            found.append((len(seen), int(at[i]), int(at[last]) + 1))
+    return _apart(sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])))
+
+
+def _apart(ranked: list[tuple]) -> list[tuple]:
+    """Those of (.., first, last, ..) that overlap none before them."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for f in ranked:
+        k = bisect.bisect(taken, (f[1], f[2]))
+        if (k == 0 or taken[k - 1][1] < f[1]) and (k == len(taken) or taken[k][0] > f[2]):
+            taken.insert(k, (f[1], f[2]))
+            out.append(f)
+    return out
+
+
+def windows(model: Model, blocks: list[str]) -> list[tuple[int, int, int, str, float, float]]:
+    """(block, start, end, family, probability, cover) of every stretch that passes both tests."""
+    words, first = word_hashes(blocks)
+    if len(words) < 2:
+        return []
+    pairs = mix(words[:-1] * _U(0x100000001B3) + words[1:])
+    owner = np.repeat(np.arange(len(blocks)), np.diff(first))
+    known = np.unique(np.concatenate([p for _, p in model.pairs]))
+    place = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+    hit = np.flatnonzero((known[place] == pairs) & (owner[:-1] == owner[1:]))
+    both = np.unique(owner[hit] * len(known) + place[hit])
+    block, pair = both // len(known), both % len(known)
+    texts, out, spots = [], [], {}
+    for family, template in model.pairs:
+        held = np.bincount(block[np.isin(known[pair], template)], minlength=len(blocks))
+        for b in np.flatnonzero(held >= max(1, MIN_COVER * len(template))).tolist():
+            spots[b] = spots.get(b) or [m.span() for m in WORD.finditer(blocks[b])]
+            for n, i, j in _stretches(pairs[first[b] : first[b + 1] - 1], template):
+                texts.append(blocks[b][spots[b][max(0, i - MARGIN)][0] : spots[b][min(len(spots[b]) - 1, j + MARGIN)][1]])
+                out.append((n, spots[b][i][0], spots[b][j][1], b, family, n / len(template)))
+    if not texts:
+        return []
+    chance = _softmax(_logits(model, texts) / model.temperature)
+    sure = [(*f, float(chance[k, f[4]])) for k, f in enumerate(out) if chance[k, f[4]] >= MIN_CHANCE]
+    by: dict[int, list[tuple]] = {}
+    for f in sorted(sure, key=lambda f: (-f[0], -f[6], f[1])):
+        by.setdefault(f[3], []).append(f)
+    return [(b, f[1], f[2], model.families[f[4]], f[6], f[5]) for b in sorted(by) for f in sorted(_apart(by[b]), key=lambda f: f[1])]
+
+
+def merged(lines: list[tuple], stretches: list[tuple]) -> list[tuple]:
+    """Findings (paragraph, start, end, family, probability, cover, confirmed, last paragraph) of one text, in order."""
+    for s in stretches:
+        over = [x for x in lines if s[0] <= x[0] <= s[7]]
+        if any(x[3] == s[3] and x[6] for x in over):
+            continue
+        if s[7] > s[0]:
+            gone = [x for x in over if x[3] == s[3] or 2 * (min(x[2], s[2]) - max(x[1], s[1])) >= x[2] - x[1]]
+            lines = [x for x in lines if x not in gone]
+        lines = [*lines, s]
+    return sorted(lines, key=lambda x: x[:4])
+
+
 def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Train with one paragraph each of the rows with the smallest hash of the id, at most ``rows``."""
     lines = F.split(F.col(text), "\n")
@@ -187,7 +287,7 @@ def fit(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rows: int =
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """A row per licence paragraph: doc_id, paragraph, start, end, family, probability, cover, confirmed."""
+    """A row per licence paragraph or stretch: doc_id, paragraph, start, end, family, probability, cover, confirmed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["paragraph", "start", "end", "family", "probability", "cover", "confirmed"]
@@ -200,17 +300,30 @@ def scan(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_i
             owners: list[int] = []
             out: list[tuple] = []
             for a, b in chunks_of(texts, [len(t) for t in texts], SPAN):
-                lines, where = [], []
+                lines, where, starts, blocks, block_at = [], [], {}, [], []
                 for d in range(a, b):
                     at = 0
+                    starts[d] = []
                     for i, line in enumerate(texts[d].split("\n")):
                         lines.append(line)
                         where.append((d, i, at))
+                        starts[d].append(at)
                         at += len(line) + 1
+                    for begin, end in _blocks(texts[d]):
+                        blocks.append(texts[d][begin:end])
+                        block_at.append((d, begin))
+                found: dict[int, tuple[list, list]] = {}
                 for k, family, chance, cover in classify(shared.value, lines):
                     d, i, at = where[k]
-                    owners.append(d)
-                    out.append((i, at, at + len(lines[k]), family, chance, cover, cover >= MIN_COVER))
+                    found.setdefault(d, ([], []))[0].append((i, at, at + len(lines[k]), family, chance, cover, cover >= MIN_COVER, i))
+                for k, begin, end, family, chance, cover in windows(shared.value, blocks):
+                    d, at = block_at[k]
+                    i, last = (bisect.bisect(starts[d], at + x) - 1 for x in (begin, end - 1))
+                    found.setdefault(d, ([], []))[1].append((i, at + begin, at + end, family, chance, cover, True, last))
+                for d in sorted(found):
+                    rows = merged(*found[d])
+                    owners += [d] * len(rows)
+                    out += [r[:7] for r in rows]
             columns = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
