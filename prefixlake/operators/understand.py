@@ -424,7 +424,11 @@ def propose_rewrites(
 def understand(requests: DataFrame, lexicon: Lexicon, abbreviations: DataFrame) -> DataFrame:
     """Distinct queries with the best rewrite applied: q, norm, expanded, expansions, tokens."""
     rules = rewrite_rules(abbreviations)
-    base = hold(expand_queries(requests, abbreviations, rules))
+    return understand_from(hold(expand_queries(requests, abbreviations, rules)), lexicon, abbreviations, rules)
+
+
+def understand_from(base: DataFrame, lexicon: Lexicon, abbreviations: DataFrame, rules: DataFrame) -> DataFrame:
+    """As :func:`understand`, for queries that are expanded already."""
     proposed = hold(propose_rewrites(base, lexicon, abbreviations, k=1).withColumn("written", normalize_text(F.col("rewrite"))))
     again = expand_texts(proposed.select(F.col("written").alias("norm")), rules).select(F.col("norm").alias("written"), F.col("x").alias("again"))
     best = proposed.join(again, "written").select("norm", "again", F.concat_ws(": ", "source", "reason").alias("note"))
