@@ -35,6 +35,8 @@ SMOOTH = 5
 CELLS = (1 << 16, 1 << 22)
 #: Distinct counts a task holds back.
 HELD = 400_000
+#: Most languages whose sizes are broadcast.
+BROADCAST_LANGS = 100_000
 _KEYS = ["lang", "source", "term"]
 
 
@@ -147,7 +149,9 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     sizes = terms.join(occurring.groupBy("lang").agg(F.count("*").alias("sources")), "lang", "right")
     cells = F.least(F.greatest(F.lit(CELLS[0]), 4 * F.col("sources") * F.col("sources")), F.lit(CELLS[1]))
     shards = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("terms"), F.lit(0)).cast("double") * F.col("sources") / cells)).cast("int")
-    langs = sizes.select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), shards.alias("shards"))
+    langs = stored(sizes.select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), shards.alias("shards")))
+    # a language may hold a third of all counts: they meet this table where they are, unless it has very many rows
+    langs = F.broadcast(langs) if langs.count() <= BROADCAST_LANGS else langs
     groups = stored(occurring.join(totals, ["lang", "source"], "left").join(langs, "lang").fillna({"total": 0}))
     # a language without kept terms has one shard, without rows of counts
     sides = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
