@@ -7,7 +7,9 @@ of the 128 min-hash tokens with probability 1 / (threshold * 128), and hand a se
 Buckets of at most SMALL sets are compared by brute force on their signatures. In a larger one
 each set is compared with one pivot: sets that share NEAR of its tokens are joined to it, and those
 that nearly equal it leave the bucket, since their likely partners share NEAR of the pivot's tokens
-and are joined to it too (the share of differing tokens is a metric); the others are split again. What is still large after DEPTH
+and are joined to it too (the share of differing tokens is a metric); the others are split again. Sets
+joined to one pivot are in one group already, so only buckets that hold a set far from it go on: a
+large group of near copies is met once a tree, not level by level. What is still large after DEPTH
 levels, sets that agree on every token drawn, is joined to the pivot whole. RUNS trees give the recall: a pair at the threshold meets in a tree with probability 0.63 in a
 first-level bucket and 0.37 in a third-level one, so 16 runs miss less than one in a thousand.
 
@@ -102,7 +104,10 @@ def _sketch(text: str, width: int, threshold: float, runs: int):
 
 
 def _split(threshold: float):
-    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null), and (null, rep, pivot) for sets near the pivot."""
+    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null, far), and (null, rep, pivot, null) for sets near the pivot.
+
+    ``far`` sets are not joined to the pivot. Its likely partners all are, so the pivot leaves too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -110,8 +115,8 @@ def _split(threshold: float):
             tokens, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in ("tokens", "pivot_tokens"))
             agree = (tokens == other).mean(axis=1)
             joined = np.flatnonzero((agree >= NEAR) & (rep != pivot))
-            stay = np.flatnonzero((agree < SAME) | (rep == pivot))
-            path, rep_, tokens = path[stay], rep[stay], tokens[stay]
+            stay = np.flatnonzero(agree < SAME)
+            path, rep_, tokens, far = path[stay], rep[stay], tokens[stay], agree[stay] < NEAR
             nodes, inverse = np.unique(path, return_inverse=True)
             node, place = chosen(nodes, threshold)
             begin, end = np.searchsorted(node, inverse), np.searchsorted(node, inverse, side="right")
@@ -120,8 +125,8 @@ def _split(threshold: float):
             at = place[np.repeat(begin, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
             child = _child(path[row], at, tokens[row, at]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*child.tolist(), *[None] * len(joined)], pa.int64()), pa.array(np.concatenate([rep_[row], rep[joined]])), pa.array([*[None] * len(row), *pivot[joined].tolist()], pa.int64())],
-                names=["bucket", "rep", "pivot"],
+                [pa.array([*child.tolist(), *[None] * len(joined)], pa.int64()), pa.array(np.concatenate([rep_[row], rep[joined]])), pa.array([*[None] * len(row), *pivot[joined].tolist()], pa.int64()), pa.array([*far[row].tolist(), *[None] * len(joined)], pa.bool_())],
+                names=["bucket", "rep", "pivot", "far"],
             )
 
     return run
@@ -188,10 +193,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(node, root): connected groups of likely partners among ``reps`` (rep, tokens, buckets)."""
-    rows, found = reps.select("rep", F.explode("buckets").alias("bucket")), []
+    rows, found = reps.select("rep", F.explode("buckets").alias("bucket"), F.lit(True).alias("far")), []
     for level in range(1, depth + 1):
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-        rows = stored(rows.join(counts, "bucket"))
+        first = F.min(F.struct((~F.col("far")).alias("joined"), "rep"))
+        counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1 and not first.joined")
+        rows = stored(rows.join(counts.select("bucket", "n", F.col("first.rep").alias("pivot")), "bucket").drop("far"))
         lists = rows.filter(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
         members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps.select("rep", "tokens"), "rep")
         found.append(members.repartition("list").sortWithinPartitions("list").select("list", "rep", "tokens").mapInArrow(_compare(LIKELY), "a long, b long"))
@@ -202,9 +208,9 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
             found.append(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         else:
             pivots = reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
-            parts = stored(large.join(reps.select("rep", "tokens"), "rep").join(pivots, "pivot").mapInArrow(_split(threshold), "bucket long, rep long, pivot long"))
+            parts = stored(large.join(reps.select("rep", "tokens"), "rep").join(pivots, "pivot").mapInArrow(_split(threshold), "bucket long, rep long, pivot long, far boolean"))
             found.append(parts.filter("bucket is null").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-            rows = parts.filter("bucket is not null").select("rep", "bucket")
+            rows = parts.filter("bucket is not null").select("rep", "bucket", "far")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
