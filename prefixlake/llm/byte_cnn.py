@@ -161,13 +161,18 @@ def score_bytes(w: Weights | None, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", row_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Weights | None:
-    """Train on the labelled rows with the smallest hash of the id, at most ``rows``."""
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", row_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Weights | None:
+    """Train on the texts of the labelled ids with the smallest hash, at most ``rows``.
+
+    The ids are chosen from ``labels`` alone; only the texts of those ids are then read. Rows that
+    repeat an id, in either table, each count; null labels do not; equal hashes go by id and label.
+    """
     value = F.coalesce(F.col(text), F.lit("")).cast("binary")
     room = F.greatest(F.octet_length(value) - CROP, F.lit(0))
     crops = F.transform(F.sequence(F.lit(0), F.when(room > 0, F.lit(CROPS - 1)).otherwise(F.lit(0))), lambda i: F.substring(value, F.floor(room * i / (CROPS - 1)).cast("int") + 1, F.lit(CROP)))
     order = F.xxhash64(F.lit("sample"), F.col(row_id).cast("string"))
-    taken = labelled.filter(F.col(label).isNotNull()).select(order.alias("o"), F.col(row_id).cast("string").alias("i"), F.col(label).cast("int").alias("y"), crops.alias("c")).orderBy("o", "i", "y").limit(rows).collect()
+    picked = labels.filter(F.col(label).isNotNull() & F.col(row_id).isNotNull()).select(order.alias("o"), F.col(row_id).alias("i"), F.col(label).cast("int").alias("y")).orderBy("o", "i", "y").limit(rows)
+    taken = docs.select(F.col(row_id).alias("i"), crops.alias("c")).join(F.broadcast(picked), "i").orderBy("o", "i", "y", "c").limit(rows).collect()
     return train([[bytes(c) for c in r["c"]] for r in taken], np.array([r["y"] for r in taken], dtype=int))
 
 

@@ -46,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_slice("doc_id", 3) == 1
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    weights = byte_cnn.fit(docs.filter(~held_out).join(labels, "doc_id"))
+    weights = byte_cnn.fit(docs.filter(~held_out), labels.filter(~held_out))
     return byte_cnn.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

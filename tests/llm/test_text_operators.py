@@ -141,10 +141,10 @@ def test_network_gradient():
 def test_quality_of_awkward_rows(spark):
     docs = awkward_documents(spark).withColumn("predicted", F.lit("clash"))
     labelled = docs.withColumn("quality", F.when(F.col("doc_id") > 5, 1).when(F.col("doc_id") > 2, 0))
-    weights = byte_cnn.fit(labelled)
+    weights = byte_cnn.fit(labelled.drop("quality"), labelled.select("doc_id", "quality"))
     out = byte_cnn.score(docs, weights).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
-    assert byte_cnn.fit(labelled.limit(0)) is None
+    assert byte_cnn.fit(labelled.drop("quality"), labelled.select("doc_id", "quality").limit(0)) is None
     assert {r["score"] for r in byte_cnn.score(docs, None).collect()} == {0.5}
     assert byte_cnn.score(empty_documents(spark), weights).count() == 0
 
