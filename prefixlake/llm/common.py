@@ -35,9 +35,24 @@ def stored(df: DataFrame) -> DataFrame:
     checkpoint_folder(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables stored so far by this application.
+
+    Only for a job whose steps write their results and read them again: what is still to be
+    worked out from a stored table must not be used afterwards.
+    """
+    for path in _TABLES.pop(spark.sparkContext.applicationId, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_slice(column: str, modulus: int) -> Column:
     """crc32 of the value written as text, modulo ``modulus``; -1 for null."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
