@@ -5,11 +5,10 @@ with one representative. A run starts a tree whose nodes choose, by the node's p
 of the 128 min-hash tokens with probability 1 / (threshold * 128), and hand a set on to the child
 (path, chosen token): similar sets stay together with the same chance per level, others part.
 Buckets of at most SMALL sets are compared by brute force on their signatures. In a larger one
-each set is compared with one pivot: sets that share NEAR of its tokens are joined to it, and those
-that nearly equal it leave the bucket, since their likely partners share NEAR of the pivot's tokens
-and are joined to it too (the share of differing tokens is a metric); the others are split again. Sets
-joined to one pivot are in one group already, so only buckets that hold a set far from it go on: a
-large group of near copies is met once a tree, not level by level. What is still large after DEPTH
+each set is compared with one pivot, once for all buckets that have it: sets that share NEAR of its
+tokens are joined to it and so are in one group already. They leave the bucket unless a set far from
+the pivot can still be their likely partner (the share of differing tokens is a metric); what is left
+is split again. A large group of near copies is thus met once, not level by level. What is still large after DEPTH
 levels, sets that agree on every token drawn, is joined to the pivot whole. RUNS trees give the recall: a pair at the threshold meets in a tree with probability 0.63 in a
 first-level bucket and 0.37 in a third-level one, so 16 runs miss less than one in a thousand.
 
@@ -40,7 +39,7 @@ WIDTH, THRESHOLD = 5, 0.8
 TOKENS, RUNS, DEPTH, SMALL = 128, 16, 4, 64
 #: Signatures that agree in this share of tokens or more are candidates: four deviations below the threshold.
 LIKELY = 0.66
-#: Sets that agree with a pivot in this share of tokens leave its bucket.
+#: Sets that agree with a pivot in this share of tokens leave its bucket, whatever else is in it.
 SAME = 0.9
 #: In a large bucket, sets that agree with the pivot in this share of tokens are joined to it. Tokens that
 #: differ are a metric: a likely partner of a set that leaves agrees with the pivot in no smaller a share.
@@ -103,20 +102,20 @@ def _sketch(text: str, width: int, threshold: float, runs: int):
     return run
 
 
-def _split(threshold: float):
-    """(bucket, rep, tokens, pivot, pivot_tokens) -> (child bucket, rep, null, far), and (null, rep, pivot, null) for sets near the pivot.
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, pivot, tokens, pivot_tokens) -> (rep, pivot, agree): the share of tokens in which the two agree."""
+    for batch in batches:
+        tokens, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in ("tokens", "pivot_tokens"))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("pivot"), pa.array((tokens == other).mean(axis=1))], names=["rep", "pivot", "agree"])
 
-    ``far`` sets are not joined to the pivot. Its likely partners all are, so the pivot leaves too.
-    """
+
+def _split(threshold: float):
+    """(bucket, rep, tokens, far) -> (child bucket, rep, far)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-            rep, pivot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "pivot"))
-            tokens, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, TOKENS) for c in ("tokens", "pivot_tokens"))
-            agree = (tokens == other).mean(axis=1)
-            joined = np.flatnonzero((agree >= NEAR) & (rep != pivot))
-            stay = np.flatnonzero(agree < SAME)
-            path, rep_, tokens, far = path[stay], rep[stay], tokens[stay], agree[stay] < NEAR
+            rep, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "far"))
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
             nodes, inverse = np.unique(path, return_inverse=True)
             node, place = chosen(nodes, threshold)
             begin, end = np.searchsorted(node, inverse), np.searchsorted(node, inverse, side="right")
@@ -124,10 +123,7 @@ def _split(threshold: float):
             row = np.repeat(np.arange(len(path)), many)
             at = place[np.repeat(begin, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
             child = _child(path[row], at, tokens[row, at]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*child.tolist(), *[None] * len(joined)], pa.int64()), pa.array(np.concatenate([rep_[row], rep[joined]])), pa.array([*[None] * len(row), *pivot[joined].tolist()], pa.int64()), pa.array([*far[row].tolist(), *[None] * len(joined)], pa.bool_())],
-                names=["bucket", "rep", "pivot", "far"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(rep[row], pa.int64()), pa.array(far[row].astype(bool))], names=["bucket", "rep", "far"])
 
     return run
 
@@ -208,9 +204,15 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
             found.append(large.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
         else:
             pivots = reps.select(F.col("rep").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
-            parts = stored(large.join(reps.select("rep", "tokens"), "rep").join(pivots, "pivot").mapInArrow(_split(threshold), "bucket long, rep long, pivot long, far boolean"))
-            found.append(parts.filter("bucket is null").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-            rows = parts.filter("bucket is not null").select("rep", "bucket", "far")
+            pairs = large.select("rep", "pivot").distinct().join(reps.select("rep", "tokens"), "rep").join(pivots, "pivot")
+            tested = stored(pairs.mapInArrow(_agreement, "rep long, pivot long, agree double"))
+            found.append(tested.filter((F.col("agree") >= NEAR) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            marked = stored(large.join(tested, ["rep", "pivot"]).withColumn("far", F.col("agree") < NEAR))
+            nearest = marked.filter("far").groupBy("bucket").agg(F.max("agree").alias("nearest"))
+            # a joined set's likely partner among the far ones agrees with the pivot in at least this share
+            able = F.col("far") | (F.col("nearest") >= F.col("agree") + LIKELY - 1)
+            going = marked.join(nearest, "bucket").filter(able).select("bucket", "rep", "far")
+            rows = going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long, far boolean")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

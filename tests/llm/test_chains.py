@@ -1,12 +1,23 @@
 """Chains of near copies in buckets that the search thins out."""
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 
 from prefixlake.llm import chosen_path
 
 
-def test_partners_of_sets_that_leave_a_bucket_are_joined():
+def _groups(spark, sets: list, buckets: int, small: int = 2) -> list[set]:
+    rows = [(i, bytearray(s.tobytes()), list(range(buckets))) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "rep long, tokens binary, buckets array<long>")
+    found = defaultdict(set)
+    for r in chosen_path.candidate_groups(reps, small=small).collect():
+        found[r["root"]].add(r["node"])
+    return list(found.values())
+
+
+def test_partners_of_sets_that_leave_a_bucket_are_joined(spark):
     """P-X at 116 of 128 tokens, X-Y at 85: X leaves, so Y, with 73 tokens of P, must be joined to P; Z has nothing in common."""
     p = np.arange(chosen_path.TOKENS, dtype=np.uint16)
     x, y = p.copy(), p.copy()
@@ -15,10 +26,35 @@ def test_partners_of_sets_that_leave_a_bucket_are_joined():
     y[12:55] += 1000
     assert (x == p).mean() >= chosen_path.SAME and (x == y).mean() >= chosen_path.LIKELY > (y == p).mean()
     sets = [p, x, y, p + np.uint16(5000)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([7] * 4, pa.int64()), pa.array(range(4), pa.int64()), pa.array([s.tobytes() for s in sets]), pa.array([0] * 4, pa.int64()), pa.array([p.tobytes()] * 4)],
-        names=["bucket", "rep", "tokens", "pivot", "pivot_tokens"],
-    )
-    rows = [r for b in chosen_path._split(chosen_path.THRESHOLD)(iter([batch])) for r in b.to_pylist()]
-    assert {(r["rep"], r["pivot"]) for r in rows if r["bucket"] is None} == {(1, 0), (2, 0)}
-    assert 1 not in {r["rep"] for r in rows if r["bucket"] is not None}
+    assert _groups(spark, sets, buckets=1) == [{0, 1, 2}]
+
+
+def test_a_joined_set_stays_for_its_partner_far_from_the_pivot(spark):
+    """P-X at 77 of 128 tokens are joined; Y has 36 tokens of P but 87 of X, so X must meet it in a later bucket; Z has nothing in common."""
+    p = np.arange(chosen_path.TOKENS, dtype=np.uint16)
+    x = p.copy()
+    x[:51] += 1000
+    y = x.copy()
+    y[51:92] += 2000
+    assert (x == p).mean() >= chosen_path.NEAR > (y == p).mean() and (x == y).mean() >= chosen_path.LIKELY
+    assert _groups(spark, [p, x, y, p + np.uint16(5000)], buckets=48) == [{0, 1, 2}]
+
+
+def test_a_group_of_near_copies_is_not_split_again(spark, monkeypatch):
+    """All sets near the pivot: the pairs with it are tested once for all buckets, and nothing goes on."""
+    rng, base, sets = np.random.default_rng(3), np.arange(chosen_path.TOKENS, dtype=np.uint16), []
+    for _ in range(200):
+        s = base.copy()
+        s[rng.choice(chosen_path.TOKENS, 14, replace=False)] += rng.integers(1000, 60000, 14).astype(np.uint16)
+        sets.append(s)
+
+    def refuse(threshold):
+        def run(batches):
+            for batch in batches:
+                assert not batch.num_rows
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "far": pa.array([], pa.bool_())})
+
+        return run
+
+    monkeypatch.setattr(chosen_path, "_split", refuse)
+    assert _groups(spark, sets, buckets=16, small=64) == [set(range(200))]
