@@ -16,7 +16,7 @@ TERM_FIELDS = ["query", "selected_text", "selected_type", "brand", "category", "
 
 def recency_weight(ts: Column, now: Column, days: float = 14.0) -> Column:
     """exp(-age/days); future events count as age zero, unreadable dates as weight one."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 86_400_000_000.0)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.try_cast("timestamp"))) / 86_400_000_000.0)
     return F.coalesce(F.exp(-age / days), F.lit(1.0))
 
 
