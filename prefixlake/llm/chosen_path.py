@@ -212,7 +212,7 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
             # a joined set's likely partner among the far ones agrees with the pivot in at least this share
             able = F.col("far") | (F.col("nearest") >= F.col("agree") + LIKELY - 1)
             going = marked.join(nearest, "bucket").filter(able).select("bucket", "rep", "far")
-            rows = going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long, far boolean")
+            rows = stored(going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long, far boolean"))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
