@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every node moves to its smallest neighbour, the edges move with their ends, loops vanish;
     what is left, far fewer edges between the nodes moved to, goes round again.
     """
-    left, roots = stored(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct()), None
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    left, roots = stored(edges.filter("a <> b").select(both.alias("edge")).select("edge.*").distinct()), None
     while True:
         step = stored(left.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         if roots is None:
@@ -189,14 +191,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
     """(node, root): connected groups of likely partners among ``reps`` (rep, tokens, buckets)."""
-    rows, found = reps.select("rep", F.explode("buckets").alias("bucket"), F.lit(True).alias("far")), []
+    rows, small_buckets, found = reps.select("rep", F.explode("buckets").alias("bucket"), F.lit(True).alias("far")), [], []
     for level in range(1, depth + 1):
         first = F.min(F.struct((~F.col("far")).alias("joined"), "rep"))
         counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1 and not first.joined")
         rows = stored(rows.join(counts.select("bucket", "n", F.col("first.rep").alias("pivot")), "bucket").drop("far"))
-        lists = rows.filter(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
-        members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps.select("rep", "tokens"), "rep")
-        found.append(members.repartition("list").sortWithinPartitions("list").select("list", "rep", "tokens").mapInArrow(_compare(LIKELY), "a long, b long"))
+        small_buckets.append(rows.filter(F.col("n") <= small).select(F.lit(level).alias("level"), "bucket", "rep"))
         large = rows.filter(F.col("n") > small)
         if large.isEmpty():
             break
@@ -213,10 +213,11 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
             able = F.col("far") | (F.col("nearest") >= F.col("agree") + LIKELY - 1)
             going = marked.join(nearest, "bucket").filter(able).select("bucket", "rep", "far")
             rows = stored(going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long, far boolean"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return components(stored(edges.distinct()))
+    # the small buckets of all levels are compared in one step, each list of members once
+    lists = reduce(DataFrame.unionByName, small_buckets).groupBy("level", "bucket").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
+    members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps.select("rep", "tokens"), "rep")
+    compared = members.repartition("list").sortWithinPartitions("list").select("list", "rep", "tokens").mapInArrow(_compare(LIKELY), "a long, b long")
+    return components(reduce(DataFrame.unionByName, found, compared))
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
