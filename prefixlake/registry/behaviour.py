@@ -131,6 +131,23 @@ def h7b(spark, sf):
     return spark.read.parquet(path).select("event_id", "user_id", "event_type")
 
 
+@query(
+    "h7_retained_events",
+    "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS user_rank FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000) QUALIFY user_rank <= 120",
+)
+def h7c(spark, sf):
+    source, path, mark = _folder(spark), _folder(spark), _folder(spark)
+    events = table(spark, sf, "events").withColumn("ingest_seq", c("event_id"))
+    # several files, each with old and new events: one micro-batch a file
+    events.repartition(4, "event_id").write.option("maxRecordsPerFile", 1_000_000).parquet(source)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    done = stream.retain_events(arriving, path, mark)
+    done.awaitTermination()
+    last = max(p["batchId"] for p in done.recentProgress)
+    kept = spark.read.schema(events.schema).parquet(f"{path}/v={last}")
+    return stream.latest_events(kept).select("event_id", "user_id", c("user_rank").cast("bigint").alias("user_rank"))
+
+
 @query(
     "h8_live_profiles",
     d.with_(

@@ -63,6 +63,94 @@ def a7(spark, sf):
     return R.strict_cast(raw, {"value": "double"}, "event_id", "events")[1]
 
 
+@query("a6_require_columns", "SELECT p_partkey, 'part is missing required column(s): p_colour, p_weight' AS error FROM part")
+def a6(spark, sf):
+    rows = table(spark, sf, "part")
+    try:
+        R.require_columns(rows, "part", ["p_partkey", "p_colour", "p_name", "p_weight"])
+    except ValueError as e:
+        return rows.select("p_partkey", F.lit(str(e)).alias("error"))
+    raise AssertionError("missing columns were not found")
+
+
+#: Cells with quotes, separators and line breaks, blank rows and rows that lack their last cell.
+WILD_CELL = "p_name || CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN ', \"x\"' WHEN 1 THEN chr(10) || '\"' || chr(10) || 'y' WHEN 2 THEN chr(10) || chr(10) || 'z' ELSE '' END"
+
+
+@query("a8_clean_cells", f"SELECT CAST(p_partkey AS VARCHAR) AS id, {WILD_CELL} AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS brand FROM part")
+def a8(spark, sf):
+    path = _folder(spark)
+    quoted = F.concat(F.lit('"'), F.replace(F.expr(WILD_CELL), F.lit('"'), F.lit('""')), F.lit('"'))
+    last = F.when(c("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(", "), "p_brand", F.lit("  ")))
+    row = F.concat(F.lit(" "), c("p_partkey").cast("string"), F.lit(" ,"), quoted, last, F.when(c("p_partkey") % 7 == 0, "\n\n , ,").otherwise(""))
+    # every part's text is a small file of its own rows below one header
+    head = table(spark, sf, "part").select(F.floor(c("p_partkey") / 50_000).alias("file"), c("p_partkey").alias("at"), row.alias("value"))
+    heads = head.groupBy("file").agg(F.lit(-1).cast("bigint").alias("at"), F.lit("\ufeff id, name ,brand").alias("value"))
+    rows = heads.select("file", "at", "value").unionByName(head.select("file", c("at").cast("bigint").alias("at"), "value"))
+    rows.repartition("file").sortWithinPartitions("file", "at").select("value", "file").write.partitionBy("file").text(path)
+    return R.read_csv(spark, f"{path}/*", ["id", "name", "brand"]).select("id", "name", "brand")
+
+
+ALIAS_SCOPE = "CASE event_type WHEN 'click' THEN 'user' WHEN 'view' THEN 'session' WHEN 'purchase' THEN 'global-candidate' WHEN 'signup' THEN 'user' ELSE 'everyone' END"
+ALIAS_STATE = "CASE WHEN value < 50 THEN 'candidate' WHEN value < 100 THEN 'approved' WHEN value < 150 THEN 'rejected' ELSE 'other' END"
+
+
+def _documents(rows, key: str, document) -> str:
+    """A folder of JSON documents, one file for each value of ``key``."""
+    path = _folder(rows.sparkSession)
+    rows.groupBy(key).agg(document.alias("value")).repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
+@query(
+    "a12_read_alias_memory",
+    f"SELECT * FROM (SELECT event_id AS accepted_count, user_id AS rejected_count, event_type AS raw_query, 'k' || event_id AS rewrite, {ALIAS_SCOPE} AS scope, {ALIAS_STATE} AS status, ts AS last_seen, 'brand=' || event_type AS entity FROM events) WHERE scope <> 'everyone' AND status <> 'other'",
+)
+def a12(spark, sf):
+    entity = F.struct(F.lit("brand").alias("kind"), c("event_type").alias("value"), F.lit("rule").alias("source"), F.lit(0.5).alias("confidence"))
+    records = table(spark, sf, "events").select(
+        F.floor(c("event_id") / 10_000).alias("part"), c("event_type").alias("rawQuery"), F.concat(F.lit("k"), "event_id").alias("rewrite"), F.lit("POI Search").alias("intent"), F.array(entity).alias("entities"),
+        F.expr(ALIAS_SCOPE).alias("scope"), F.lit("agent").alias("source"), c("event_id").alias("acceptedCount"), c("user_id").alias("rejectedCount"), F.expr(ALIAS_STATE).alias("status"),
+        c("ts").cast("string").alias("lastSeenAt"),
+    )
+    path = _documents(records, "part", F.to_json(F.collect_list(F.struct(*[x for x in records.columns if x != "part"]))))
+    first = F.get("entities", F.lit(0))
+    return R.read_alias_memory(spark, path).select(
+        "accepted_count", "rejected_count", "raw_query", "rewrite", "scope", "status", c("last_seen").cast(table(spark, sf, "events").schema["ts"].dataType).alias("last_seen"), F.concat(first["kind"], F.lit("="), first["value"]).alias("entity"),
+    )
+
+
+def _corridor_file(spark, sf) -> str:
+    """Customers as corridor places, their first ones as known locations, 5,000 to a document."""
+    point = F.struct((c("c_custkey") % 90).cast("double").alias("lat"), (100 + c("c_custkey") % 20).cast("double").alias("lon"))
+    label = F.concat(F.lit("C"), "c_custkey")
+    place = F.struct(
+        label.alias("id"), c("c_name").alias("label"), F.lit("charger").alias("category"), point.alias("coordinates"), F.lit("fixture").alias("source"), (c("c_custkey") % 10 / 10).alias("confidence"),
+        F.when(c("c_custkey") % 3 == 0, F.lit(True)).alias("openingHoursVerified"), F.array(F.lit("CCS2"), c("c_mktsegment")).alias("connectorTypes"), (c("c_custkey") % 300).alias("accessPenaltySeconds"),
+    )
+    spot = F.when(c("c_custkey") % 100 == 0, F.struct(label.alias("id"), c("c_name").alias("label"), point.alias("coordinates"), F.array(label, c("c_mktsegment")).alias("aliases")))
+    rows = table(spark, sf, "customer").select(F.floor(c("c_custkey") / 5_000).alias("part"), place.alias("place"), spot.alias("spot"))
+    return _documents(rows, "part", F.to_json(F.struct(F.collect_list("place").alias("places"), F.collect_list("spot").alias("knownLocations"))))
+
+
+@query(
+    "a13_read_corridor_places",
+    "SELECT 'C' || c_custkey AS poi_id, c_name AS label, CAST(c_custkey % 90 AS DOUBLE) AS latitude, CAST(100 + c_custkey % 20 AS DOUBLE) AS longitude, c_custkey % 3 = 0 AS verified, 'CCS2;' || c_mktsegment AS connectors, c_custkey % 300 AS penalty_s FROM customer",
+)
+def a13(spark, sf):
+    places, _ = R.read_corridor_places(spark, _corridor_file(spark, sf))
+    return places.select("poi_id", "label", "latitude", "longitude", "verified", F.array_join("connector_types", ";").alias("connectors"), "penalty_s")
+
+
+@query(
+    "a13_read_corridor_locations",
+    "SELECT 'C' || c_custkey AS location_id, CAST(c_custkey % 90 AS DOUBLE) AS lat, unnest(['C' || c_custkey, c_mktsegment]) AS alias FROM customer WHERE c_custkey % 100 = 0",
+)
+def a13b(spark, sf):
+    _, spots = R.read_corridor_places(spark, _corridor_file(spark, sf))
+    return spots.select("location_id", "lat", "alias")
+
+
 LABELS = [*INTENT_ALIASES, "Navigation", "Attribute Search"]
 
 
@@ -144,7 +232,14 @@ def a16(spark, sf):
     return V.validate_events(raw).select("event_id", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("a17_write_phrase_model")
+@query(
+    "a17_write_phrase_model",
+    d.with_(
+        d.inputs("pairs")
+        + ["w AS (SELECT list_concat(['<s>', '<s>'], string_split(lower(suggestion_text), ' '), ['</s>']) AS w FROM in_pairs)", "s AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)"],
+        "SELECT w[i] || ' ' || w[i + 1] AS context, w[i + 2] AS next, count(*) AS n FROM s GROUP BY ALL",
+    ),
+)
 def a17(spark, sf):
     corpus = inp(spark, sf, "pairs").select(c("suggestion_id").alias("phrase_id"), F.split(F.lower("suggestion_text"), " ").alias("words"))
     path = _folder(spark)

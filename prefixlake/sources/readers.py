@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefixlake.rules import INTENT_ALIASES
+from prefixlake.session import hold
+from prefixlake.sources.records import text_records
 
 POI_COLUMNS = [
     "poi_id", "poi_name", "category", "brand", "address", "city", "latitude", "longitude", "rating", "review_count",
@@ -34,20 +38,34 @@ def require_columns(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return df
 
 
-def clean_cells(df: DataFrame) -> DataFrame:
-    """Trim header marks and cells, fill missing cells with '', drop blank rows."""
+def clean_cells(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Trim header marks and cells, fill missing cells with '', drop blank rows; ``keep`` passes unchanged."""
     named = df.toDF(*[c.replace("﻿", "").strip() for c in df.columns])
-    text = named.select(*[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in named.columns])
-    return text.filter(F.concat(*[F.col(f"`{c}`") for c in text.columns]) != "")
+    cells = [c for c in named.columns if c not in keep]
+    text = named.select(*[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias(c) for c in cells], *keep)
+    return text.filter(F.concat(*[F.col(f"`{c}`") for c in cells]) != "")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A quoted multi-line CSV with a header, every cell as clean text."""
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("mode", "PERMISSIVE").csv(path)
-    )
-    return require_columns(clean_cells(raw), path, columns).select(*columns)
+    """Quoted multi-line CSV with a header, every cell as clean text, and ``row_ord``.
+
+    A file is read by as many tasks as it has byte ranges. The first row of each file with a cell
+    that is not blank is its header, all files of a folder have the same one; a row may lack cells
+    at its end; ``row_ord`` numbers the rows by path and place in the file.
+    """
+    records = text_records(spark, path).filter(F.regexp_replace("text", "[\\s,\"\ufeff]", "") != "")
+    first = hold(records.groupBy("file").agg(F.min("record").alias("head"), F.min_by("text", "record").alias("names")))
+    heads = [r["names"] for r in first.select(F.replace("names", F.lit("\ufeff"), F.lit("")).alias("names")).distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError(f"{path} holds files with different headers")
+    names = [n.strip() for n in next(csv.reader(heads, skipinitialspace=True), [])]
+    if missing := [c for c in columns if c not in names]:
+        raise ValueError(f"{path} is missing required column(s): {', '.join(missing)}")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
+    rows = records.join(first, "file").filter("record > head").select("number", cells.alias("cells"))
+    raw = rows.select(*[F.col(f"cells.c{names.index(c)}").alias(c) for c in columns], F.col("number").alias("row_ord"))
+    return clean_cells(raw, ("row_ord",))
 
 
 def strict_cast(df: DataFrame, columns: dict[str, str], key: str, name: str = "rows") -> tuple[DataFrame, DataFrame]:
@@ -101,31 +119,26 @@ def canonical_intent(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """A unique ordinal per row; within a file it follows the order of the lines."""
-    return df.withColumn("row_ord", F.monotonically_increasing_id())
-
-
 def read_pois(spark: SparkSession, path: str) -> DataFrame:
     raw = read_csv(spark, path, POI_COLUMNS)
     typed = strict(
         raw, {"latitude": "double", "longitude": "double", "rating": "double", "review_count": "bigint", "popularity_score": "bigint"}, "poi_id", path
     )
-    return _numbered(typed.withColumn("tags", split_list(F.col("tags"))))
+    return typed.withColumn("tags", split_list(F.col("tags")))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     typed = strict(read_csv(spark, path, PAIR_COLUMNS), {"score": "double", "query_frequency": "bigint"}, "suggestion_id", path)
-    return _numbered(typed.withColumn("suggestion_type", canonical_intent(F.col("suggestion_type"))))
+    return typed.withColumn("suggestion_type", canonical_intent(F.col("suggestion_type")))
 
 
 def read_abbreviations(spark: SparkSession, path: str) -> DataFrame:
-    return _numbered(read_csv(spark, path, ABBREVIATION_COLUMNS))
+    return read_csv(spark, path, ABBREVIATION_COLUMNS)
 
 
 def read_popular(spark: SparkSession, path: str) -> DataFrame:
     typed = strict(read_csv(spark, path, POPULAR_COLUMNS), {"monthly_frequency": "bigint"}, "query_id", path)
-    return _numbered(typed.withColumn("intent_type", canonical_intent(F.col("intent_type"))))
+    return typed.withColumn("intent_type", canonical_intent(F.col("intent_type")))
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:

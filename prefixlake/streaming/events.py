@@ -6,7 +6,8 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,8 +32,48 @@ def ingest_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def retained(events: DataFrame, n: int = 5000) -> DataFrame:
-    """The latest ``n`` events overall, by arrival (a distributed top-n)."""
-    return events.orderBy(F.desc("ingest_seq")).limit(n)
+    """The latest ``n`` events overall, by arrival.
+
+    Every partition keeps its latest ``n``; 64 partitions merge into one heap, 64 heaps into the
+    next, and the last merge sees the heaps that are left, so no task reads more than 64 times
+    ``n`` rows up to 262,144 partitions.
+    """
+    rows = events.withColumn("__part", F.spark_partition_id())
+    for width in (64, 64 * 64, 64 * 64 * 64):
+        heap = W.partitionBy(F.floor(F.col("__part") / width)).orderBy(F.desc("ingest_seq"))
+        rows = rows.withColumn("__rank", F.row_number().over(heap)).filter(F.col("__rank") <= n).drop("__rank")
+    last = W.partitionBy(F.lit(0)).orderBy(F.desc("ingest_seq"))
+    return rows.withColumn("__rank", F.row_number().over(last)).filter(F.col("__rank") <= n).drop("__rank", "__part")
+
+
+def latest_events(events: DataFrame, n: int = 120) -> DataFrame:
+    """The latest ``n`` events of each user with ``user_rank``, 1 the newest; rows without a user are left out."""
+    newest = W.partitionBy("user_id").orderBy(F.desc("ingest_seq"))
+    return events.filter(F.col("user_id").isNotNull()).withColumn("user_rank", F.row_number().over(newest)).filter(F.col("user_rank") <= n)
+
+
+def _drop_version(spark: SparkSession, path: str, version: int) -> None:
+    """Delete a written version that no replay can need."""
+    if version >= 0:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def retain_events(stream: DataFrame, path: str, checkpoint: str, n: int = 5000) -> StreamingQuery:
+    """Keep the latest ``n`` events of a stream in a table, one written version per batch.
+
+    A batch merges its own latest events with the version before it, so late events find their
+    place and a replay rebuilds the same version. The two newest versions stay.
+    """
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = retained(batch.dropna(subset=["ingest_seq"]), n)
+        if batch_id > 0:
+            rows = retained(spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}").unionByName(rows), n)
+        rows.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        _drop_version(spark, path, batch_id - 2)
+
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class TermProfile(StatefulProcessor):
@@ -90,12 +131,13 @@ def live_profiles(stream: DataFrame, now_us: int, last_n: int = 80) -> DataFrame
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Fold alias observations into a memory table, one written version per batch.
 
-    Each batch reads the version before it, so a replay rebuilds the same version.
+    Each batch reads the version before it, so a replay rebuilds the same version. The two newest versions stay.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(MEMORY).parquet(f"{path}/v={batch_id - 1}") if batch_id > 0 else empty_memory(spark)
         upsert_aliases(before, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        _drop_version(spark, path, batch_id - 2)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
