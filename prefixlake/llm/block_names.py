@@ -9,6 +9,10 @@ Round 0 names documents by (length, first block, last block). A document that is
 that name has its identity already and takes no part in the other rounds; texts of all others
 are compared over their whole length.
 
+A text, or a block, that many rows share is a hot key of every join from rows to names. Names of more
+than one row in HOT_SHARE (there are at most HOT_SHARE of them) therefore meet their rows by broadcast,
+and these rows are salted; all other names have few rows each and are joined by a shuffle.
+
 Defined results: a null text counts as empty; of equal texts the row with the largest id stays,
 null ids being the smallest; rows repeated with one id count one by one, and one of them stays;
 an empty table gives an empty result.
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from prefixlake.llm.common import stored
 
 BLOCK = 1024
+#: A name that more than one row in so many has is hot; there are at most as many hot names as this, of 1,024 bytes at most.
+HOT_SHARE, HOT_LEAST = 4096, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,14 +36,30 @@ def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER).cast("binary")
 
 
+def joined(rows: DataFrame, names: DataFrame, keys: list[str], many: str) -> DataFrame:
+    """``rows`` with the values of ``names``, a stored table with one row per ``keys``; ``many`` is how many of the rows have it.
+
+    Rows without a name have null values.
+    """
+    values = [c for c in names.columns if c not in keys and c != many]
+    limit = max((names.agg(F.sum(many)).first()[0] or 0) / HOT_SHARE, HOT_LEAST)
+    hot = F.col(many) > limit
+    found = rows.join(F.broadcast(names.filter(hot).select(*keys, F.struct(*values).alias("__hot"))), keys, "left")
+    # hot rows go anywhere; the salt of a name is always 0, but not a constant that would drop out of the key
+    salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("long")
+    others = names.filter(~hot).select(*keys, F.struct(*values).alias("__cold"), F.when(F.col(many) < 0, 1).otherwise(0).cast("long").alias("__salt"))
+    met = found.withColumn("__salt", salt).join(others.hint("merge"), [*keys, "__salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"__hot.{v}", f"__cold.{v}").alias(v) for v in values])
+
+
 def _named(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with the integer name of ``key``: its number among the distinct values.
 
     The distinct values are dealt out by their hash and sorted within each partition; the name
     is the partition's number followed by the place in it, fixed by storing the table.
     """
-    names = stored(rows.select(*key).distinct().sortWithinPartitions(*key).withColumn("__name", F.monotonically_increasing_id()))
-    return rows.join(names, key).drop(*key)
+    names = stored(rows.groupBy(*key).agg(F.count("*").alias("__many")).sortWithinPartitions(*key).withColumn("__name", F.monotonically_increasing_id()))
+    return joined(rows, names, key, "__many").drop(*key)
 
 
 def document_names(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -66,21 +88,22 @@ def exact_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", bl
     value = F.coalesce(F.col(text), F.lit(""))
     # lower-casing A-Z leaves the place of every character, so ends are cut before it
     ends = {"__length": F.octet_length(value), "__head": F.translate(F.substring(value, 1, 64), _UPPER, _LOWER), "__tail": F.translate(F.right(value, F.lit(64)), _UPPER, _LOWER)}
-    several = docs.select(*[c.alias(k) for k, c in ends.items()]).groupBy(*ends).agg(F.count("*").alias("__many")).filter("__many > 1").drop("__many")
+    several = docs.select(*[c.alias(k) for k, c in ends.items()]).groupBy(*ends).agg(F.count("*").alias("__many")).filter("__many > 1")
     names0 = stored(several.sortWithinPartitions(*ends).withColumn("__name0", F.monotonically_increasing_id()))
     keep = [c for c in docs.columns if c not in results and (carry is None or c in carry)]
     rest = [c for c in keep if c != text]
     wide = docs.select(F.struct(*[F.col(c) for c in rest]).alias("__rest") if rest else F.struct(F.lit(1).alias("one")).alias("__rest"), F.col(row_id).alias("__id"), F.col(text).alias("__text"), *[c.alias(k) for k, c in ends.items()])
     base = stored(
-        wide.join(names0.hint("merge"), list(ends), "left").drop("__head", "__tail")
+        joined(wide, names0, list(ends), "__many").drop("__head", "__tail")
         .select("*", folded(F.col("__text")).alias("__bytes")).select("*", F.sha2("__bytes", 256).alias("__sha"), F.monotonically_increasing_id().alias("__row"))
         .withColumn("__bytes", F.when(F.col("__name0").isNotNull(), F.col("__bytes")))
     )
     names = stored(document_names(base.filter("__name0 is not null").select("__row", "__bytes"), block))
-    slim = base.filter("__name0 is not null").select("__row", "__id", "__length", "__name0").join(names, "__row")
+    slim = stored(base.filter("__name0 is not null").select("__row", "__id", "__length", "__name0").join(names, "__row"))
     group = ["__name0", "__length", "__name"]
-    groups = slim.groupBy(*group).agg(F.max(F.struct(F.col("__id").isNotNull().alias("some"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("__last"), F.count("*").alias("__size"))
-    settled = slim.join(groups, group).select("__row", F.col("__last.id").alias("__keep"), F.col("__last.row").alias("__last"), F.col("__size"))
+    groups = stored(slim.groupBy(*group).agg(F.max(F.struct(F.col("__id").isNotNull().alias("some"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("__last"), F.count("*").alias("__size"))
+        .withColumn("__many", F.col("__size")))
+    settled = joined(slim, groups, group, "__many").select("__row", F.col("__last.id").alias("__keep"), F.col("__last.row").alias("__last"), F.col("__size"))
     out = base.drop("__bytes", "__name0", "__length").join(settled, "__row", "left")
     single = F.col("__size").isNull()
     return out.select(

@@ -58,3 +58,21 @@ def test_a_group_of_near_copies_is_not_split_again(spark, monkeypatch):
 
     monkeypatch.setattr(chosen_path, "_split", refuse)
     assert _groups(spark, sets, buckets=16, small=64) == [set(range(200))]
+
+
+def test_hot_names_meet_their_rows_by_broadcast(spark, monkeypatch):
+    """A text that a third of the rows share, long ones too: every name is found, hot or not, and rows without one stay."""
+    from prefixlake.llm import block_names
+    from prefixlake.llm.common import stored
+
+    monkeypatch.setattr(block_names, "HOT_LEAST", 3)
+    texts = ["Copy " + "x" * 5000] * 40 + [f"text {i % 25}" for i in range(60)] + [f"Alone {i}" for i in range(20)] + [None, "", "COPY " + "X" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in block_names.exact_copies(docs, carry=[]).collect()}
+    lower = [(t or "").translate({c: c + 32 for c in range(65, 91)}) for t in texts]
+    groups = {t: [i for i, u in enumerate(lower) if u == t] for t in set(lower)}
+    assert got == {i: (max(groups[t]), len(groups[t]), i == max(groups[t])) for i, t in enumerate(lower)}
+    names = stored(spark.createDataFrame([("a", 100, 1), ("b", 2, 2)], "k string, many long, name int"))
+    rows = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 100), ("b", 101), ("c", 102), (None, 103)], "k string, i int")
+    out = block_names.joined(rows, names, ["k"], "many").collect()
+    assert {(r["i"], r["name"]) for r in out} == {(i, 1) for i in range(100)} | {(100, 2), (101, 2), (102, None), (103, None)} and len(out) == 104
