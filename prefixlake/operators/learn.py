@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,16 +49,44 @@ def pairwise_deltas(rows: DataFrame) -> DataFrame:
     return deltas.groupBy(*FACTORS, "weight").agg(F.sum("n").alias("n"))
 
 
+#: Up to so many different deltas one task holds them all (about 80 MB) and takes every step itself.
+FIT_ROWS = 1_000_000
+
+
+def _descend(steps: int, rate: float, l2: float):
+    """All gradient steps over rows (factors, weight, n) -> one row (factor, weight) for each factor."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = np.concatenate([b.to_numpy(dtype=float) for b in batches])
+        x, scale = rows[:, : len(FACTORS)], rows[:, -2] * rows[:, -1]
+        total, base, pace = rows[:, -1].sum(), np.array([DEFAULT_WEIGHTS[f] for f in FACTORS], dtype=float), rate
+        current = base.copy()
+        for _ in range(steps):
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ current, -30.0, 30.0)))
+            current = np.maximum(0.0, current - pace * (((p - 1.0) * scale @ x) / total + l2 * (current - base)))
+            mass = math.fsum(current)
+            current = current / mass if mass > 0 else base.copy()
+            pace *= 0.993
+        yield pd.DataFrame({"factor": list(FACTORS), "weight": current})
+
+    return run
+
+
 def fit_pairwise(deltas: DataFrame, steps: int = 360, rate: float = 0.16, l2: float = 0.025) -> dict[str, float]:
     """Projected gradient descent of the pairwise logistic loss; returns normalized weights.
 
-    Each step is one aggregate of eight sums over the stored deltas; only those sums reach the
-    driver.
+    Up to FIT_ROWS different deltas are one job: their sum of work is small, and one task takes all
+    steps. Beyond, each step is one aggregate of eight sums over the stored deltas, and only those
+    sums reach the driver. (A barrier stage that exchanges the sums between tasks takes about a
+    second a step, longer than a job.) Without deltas the default weights stay.
     """
     data = hold(deltas)
-    total = data.agg(F.sum("n").alias("n")).first()["n"]
+    many, total = data.agg(F.count("*"), F.sum("n")).first()
     if not total:
         return dict(DEFAULT_WEIGHTS)
+    if many <= FIT_ROWS:
+        rows = data.select(*[F.col(f).cast("double").alias(f) for f in FACTORS], F.col("weight").cast("double"), F.col("n").cast("double"))
+        fitted = rows.coalesce(1).mapInPandas(_descend(steps, rate, l2), "factor string, weight double").collect()
+        return {r["factor"]: r["weight"] for r in fitted}
     data = data.persist()
     current = dict(DEFAULT_WEIGHTS)
     for _ in range(steps):

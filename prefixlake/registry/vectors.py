@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prefixlake.functions.text import normalize_text, words
 from prefixlake.operators import phrases as G
+from prefixlake.operators import dense_index
 from prefixlake.operators import vectors as V
 from prefixlake.operators.patterns import generated_corpus
 from prefixlake.operators.retrieve import semantic_documents, vector_queries
@@ -77,7 +78,7 @@ def f4(spark, sf):
 @query("f5_approx_dense_knn")
 def f5(spark, sf):
     units = _units(spark, sf)
-    return V.approx_dense_knn(units.select(c("vec_id").alias("q_id"), "vec"), units.select("vec_id", "vec")).select("q_id", "vec_id", "similarity", "rank")
+    return dense_index.approx_dense_knn(units.select(c("vec_id").alias("q_id"), "vec"), units.select("vec_id", "vec")).select("q_id", "vec_id", "similarity", "rank")
 
 
 @query(
