@@ -87,8 +87,9 @@ def _field_hits(requests: DataFrame, fields: DataFrame) -> DataFrame:
     spelled = fields.filter(F.coalesce("value", F.lit("")) != "").withColumn("h", normalize_text(F.col("value")))
     forms = query_forms(requests)
     pairs = match_values(forms, spelled)
+    # by estimate the exploded fields would be broadcast, however many there are
     return (
-        pairs.join(spelled, "h")
+        pairs.join(spelled.hint("merge"), "h")
         .groupBy("norm", "expanded", "key")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "value", "full", "fallback"))).alias("hits"))
         .join(forms, ["norm", "expanded"])
