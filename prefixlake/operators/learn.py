@@ -150,7 +150,8 @@ def catalog_texts(catalog: Catalog) -> DataFrame:
     ).unionByName(part(catalog.popular, "popular-query", F.array("query_text", "region"))).unionByName(
         part(catalog.abbreviations, "abbreviation", F.array("abbreviation", "expanded_form"))
     )
-    return rows.select("origin", normalize_text(F.col("text")).alias("text")).filter("text <> ''").distinct()
+    # held, or the test for empty texts normalizes every row before they become distinct
+    return hold(rows.distinct()).select("origin", normalize_text(F.col("text")).alias("text")).filter("text <> ''").distinct()
 
 
 def grounded_terms(terms: DataFrame, catalog: Catalog) -> DataFrame:
