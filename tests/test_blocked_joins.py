@@ -24,3 +24,23 @@ def test_pairs_of_forms_and_values_come_once(spark):
     values = spark.createDataFrame([("cafe ngon",), ("cafe ngon",), ("khach san lon",), ("cho",)], "h string")
     got = sorted((r["norm"], r["h"], r["full"]) for r in match_values(forms, values).collect())
     assert got == [("cafe", "cafe ngon", True), ("ks", "khach san lon", True)]
+
+
+def test_sparse_neighbours_of_frequent_features_leave_the_task_summed(spark):
+    from prefixlake.operators.vectors import sparse_index, sparse_knn
+
+    docs = spark.range(300).select(F.concat(F.lit("d"), "id").alias("doc_id"), F.concat(F.lit("quan ca phe "), F.element_at(F.array(*[F.lit(x) for x in ("le loi", "tran phu", "hai ba trung")]), (F.col("id") % 3 + 1).cast("int")), F.lit(" "), "id").alias("text"))
+    asked = spark.createDataFrame([("ca phe tran phu",), ("quan le loi 17",), ("zzz",)], "doc_id string").withColumn("text", F.col("doc_id"))
+    index, queries = sparse_index(docs), sparse_index(asked).withColumnRenamed("doc_id", "q")
+    found = sparse_knn(queries, index, 5)
+    assert "SortMergeJoin" not in plan_of(found)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, sparse_knn(queries, index, 5, block=1).collect()))
+    vectors = {}
+    for r in queries.collect() + index.collect():
+        vectors.setdefault(r[0], {})[r["feature"]] = r["weight"]
+    want = []
+    for q in ("ca phe tran phu", "quan le loi 17", "zzz"):
+        sims = [(-(int(round(sum(w * vectors[d].get(f, 0.0) for f, w in vectors[q].items()), 12) * 1000 + 0.5) / 1000), d) for d in vectors if d.startswith("d")]
+        want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(sorted(x for x in sims if -x[0] >= 0.38)[:5])]
+    assert got == sorted(want) and len(got) >= 10
