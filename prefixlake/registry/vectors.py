@@ -36,7 +36,7 @@ def sparse_ctes(source: str, key: str, out: str) -> list[str]:
 
 @query("f2_sparse_index", d.with_(DOC_SQL + sparse_ctes("docs", "doc_id", "ix"), "SELECT doc_id, feature, round(w, 9) AS weight FROM ix"))
 def f2(spark, sf):
-    return S.model(spark, sf).index.select("doc_id", "feature", F.round("weight", 9).alias("weight"))
+    return S.index(spark, sf).select("doc_id", "feature", F.round("weight", 9).alias("weight"))
 
 
 VQ = "vq AS MATERIALIZED (SELECT q, expanded AS text FROM forms WHERE norm <> '' AND NOT (NOT contains(norm, ' ') AND norm = expanded AND len(expansions) = 0 AND length(norm) >= 6))"

@@ -44,3 +44,38 @@ def test_sparse_neighbours_of_frequent_features_leave_the_task_summed(spark):
         sims = [(-(int(round(sum(w * vectors[d].get(f, 0.0) for f, w in vectors[q].items()), 12) * 1000 + 0.5) / 1000), d) for d in vectors if d.startswith("d")]
         want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(sorted(x for x in sims if -x[0] >= 0.38)[:5])]
     assert got == sorted(want) and len(got) >= 10
+
+
+def test_geocode_ties_and_points_without_shuffled_pairs(spark):
+    from prefixlake.operators.places import geocode
+
+    pois = spark.range(60).selectExpr(
+        "concat('p', lpad(id, 2, '0')) AS poi_id", "concat('shop ', id % 4) AS poi_name", "concat(id % 3, ' le loi') AS address", "'hue' AS city", "'cafe' AS category", "'' AS brand",
+        "10.0 + id / 100 AS latitude", "100.0D AS longitude", "id % 5 AS popularity_score",
+    )
+    asked = spark.createDataFrame([(1, "1 le loi", None, None), (2, "shop 2 nowhere", None, None), (3, "le loi", 10.0, 100.0), (4, "qqq", None, None)], "request_id long, address string, lat double, lon double")
+    found = geocode(asked, pois, 4)
+    assert "hashpartitioning(query" not in plan_of(found)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["request_id"], r["rank"])):
+        got.setdefault(r["request_id"], []).append(r["poi_id"])
+    ids = range(60)
+    top = lambda keep: [f"p{i:02d}" for i in sorted((i for i in ids if keep(i)), key=lambda i: (-(i % 5), i))[:4]]
+    assert got == {1: top(lambda i: i % 3 == 1), 2: top(lambda i: i % 4 == 2), 3: ["p00", "p01", "p02", "p03"]}
+
+
+def test_semantic_matches_equal_every_pair_scored(spark, mini):
+    from prefixlake.functions.match import semantic_similarity, strong_semantic_evidence
+    from prefixlake.functions.text import normalize_text
+    from prefixlake.operators.retrieve import semantic_documents, semantic_matches
+    from prefixlake.operators.understand import expand_queries
+
+    docs = semantic_documents(mini)
+    forms = expand_queries(spark.createDataFrame([("quan ca phe gan day",), ("atm vcb nguyen hue",), ("khach san da nang",), ("benh vien bach mai ha noi",)], "q string"), mini.abbreviations)
+    found = semantic_matches(forms, docs, 50)
+    assert "[sig" not in plan_of(found)  # the texts meet a block of queries, not a shuffled index
+    got = {(r["q"], r["doc_id"]): r["similarity"] for r in found.collect()}
+    t = normalize_text(F.col("text"))
+    n = F.when(F.col("expanded") != "", F.col("expanded")).otherwise(F.col("norm"))
+    pairs = forms.crossJoin(docs.select("doc_id", "text")).filter(strong_semantic_evidence(n, t)).select("q", "doc_id", semantic_similarity(n, t).alias("s")).filter("s >= 0.5")
+    assert got == {(r["q"], r["doc_id"]): r["s"] for r in pairs.collect()} and len(got) >= 5
