@@ -50,10 +50,10 @@ def test_geocode_ties_and_points_without_shuffled_pairs(spark):
     from prefixlake.operators.places import geocode
 
     pois = spark.range(60).selectExpr(
-        "concat('p', lpad(id, 2, '0')) AS poi_id", "concat('shop ', id % 4) AS poi_name", "concat(id % 3, ' le loi') AS address", "'hue' AS city", "'cafe' AS category", "'' AS brand",
+        "concat('p', lpad(id, 2, '0')) AS poi_id", "concat('shop s', id % 4) AS poi_name", "concat(id % 3, ' le loi') AS address", "'hue' AS city", "'cafe' AS category", "'' AS brand",
         "10.0 + id / 100 AS latitude", "100.0D AS longitude", "id % 5 AS popularity_score",
     )
-    asked = spark.createDataFrame([(1, "1 le loi", None, None), (2, "shop 2 nowhere", None, None), (3, "le loi", 10.0, 100.0), (4, "qqq", None, None)], "request_id long, address string, lat double, lon double")
+    asked = spark.createDataFrame([(1, "1 le loi", None, None), (2, "shop s2 nowhere", None, None), (3, "le loi", 10.0, 100.0), (4, "qqq", None, None)], "request_id long, address string, lat double, lon double")
     found = geocode(asked, pois, 4)
     assert "hashpartitioning(query" not in plan_of(found)
     got = {}
