@@ -2,8 +2,8 @@
 
 Coarse centres and code books are fitted on a bounded sample (at most SAMPLE vectors); every vector is
 indexed. A vector belongs to the cell of its nearest centre and is written as one byte per group of
-dimensions of its residual. A query looks into its nearest cells, adds up table entries instead of
-dimensions, and only the best REFINE candidates of a query are fetched and scored exactly.
+dimensions of its residual. A query looks into its nearest cells, is compared with what the codes stand
+for, and only the best candidates of a query in a block are scored exactly, in the same task.
 
 How many cells a query looks into is measured on the sample: as many as hold the neighbours of its
 vectors with the wanted probability. The sample is thinner than the data, so neighbours are farther away in
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prefixlake.functions.num import round3
+from prefixlake.operators.vectors import CHUNK, _found, best_of, block_rows, cell_blocks, meet_blocks, visited_scores
 from prefixlake.session import hold
 
 #: Vectors the centres and code books are fitted on; the only bound on what is read, and on the fit alone.
@@ -30,9 +31,8 @@ SAMPLE = 16384
 MAX_CELLS, GROUP, CODES, ROUNDS = 1024, 4, 256, 8
 #: Sample vectors that ask when the number of cells to look into is measured.
 ASKED = 512
-#: Candidates of a query that are scored exactly, per neighbour asked for.
+#: Candidates of a query in a block that are scored exactly, per neighbour asked for.
 REFINE = 10
-BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -101,37 +101,47 @@ def _sampled(vectors: DataFrame, total: int) -> np.ndarray:
     return np.array([r["vec"] for r in rows], dtype=float)
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame, model: DenseModel, most: int) -> pd.DataFrame:
-    """The ``most`` best of a block for each query, by centre and codes."""
-    ids, rows, scores = [], [], []
+def decode(cell: np.ndarray, codes: np.ndarray, model: DenseModel) -> np.ndarray:
+    """The vectors that cells and codes stand for."""
+    parts = model.books[np.arange(codes.shape[1])[None, :], codes]
+    return (model.centers[cell] + parts.reshape(len(codes), -1)[:, : model.centers.shape[1]]).astype(np.float32)
+
+
+def _seen(queries: np.ndarray, model: DenseModel) -> np.ndarray:
+    """(query, cell): the cells a query looks into."""
+    order = np.argsort(-(queries @ model.centers.T), axis=1, kind="stable")[:, : model.probes]
+    seen = np.zeros((len(queries), len(model.centers)), dtype=bool)
+    np.put_along_axis(seen, order, True, axis=1)
+    return seen
+
+
+def _search(left: pd.DataFrame, right: pd.DataFrame, model: DenseModel, k: int, most: int) -> pd.DataFrame:
+    """The ``most`` best of a block for each query by centre and codes; of those the ``k`` best by their exact cosine."""
+    parts = []
     if len(left) and len(right):
-        queries = np.stack(left["vec"].to_numpy())
-        codes = np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(right), -1)
-        tables = np.einsum("qgd,gcd->qgc", _grouped(queries), model.books)
-        base = queries @ model.centers[int(right["cell"].iloc[0])]
-        names = right["vec_id"].to_numpy()
-        for i, q_id in enumerate(left["q_id"].to_numpy()):
-            got = base[i] + tables[i][np.arange(codes.shape[1])[None, :], codes].sum(axis=1)
-            best = np.argpartition(-got, most - 1)[:most] if len(got) > most else np.arange(len(got))
-            ids.append(np.full(len(best), q_id))
-            rows.append(names[best])
-            scores.append(got[best])
-    joined = lambda parts: np.concatenate(parts) if parts else np.array([])
-    return pd.DataFrame({"q_id": joined(ids), "vec_id": joined(rows), "near": joined(scores)}).astype({"q_id": "int64", "vec_id": "int64", "near": "float64"})
-
-
-def _dot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        cosine = np.einsum("ij,ij->i", np.stack(batch["q_vec"].to_numpy()), np.stack(batch["vec"].to_numpy())) if len(batch) else np.array([])
-        yield pd.DataFrame({"q_id": batch["q_id"], "vec_id": batch["vec_id"], "cosine": cosine})
-
-
-def approx_dense_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, refine: int = REFINE, block: int = BLOCK) -> DataFrame:
+        right = right.sort_values("cell")
+        rows, ids, cell = np.stack(right["vec"].to_numpy()), right["vec_id"].to_numpy(), right["cell"].to_numpy()
+        near = decode(cell, np.frombuffer(b"".join(right["codes"]), dtype=np.uint8).reshape(len(right), -1), model)
+        for a in range(0, len(left), CHUNK):
+            part = left.iloc[a : a + CHUNK]
+            queries = np.stack(part["vec"].to_numpy())
+            scores = visited_scores(queries.astype(np.float32), near, cell, _seen(queries, model))
+            best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if len(rows) > most else np.broadcast_to(np.arange(len(rows)), scores.shape)
+            i, j = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
+            j = best[i, j]
+            cosine = np.einsum("ij,ij->i", queries[i], rows[j])
+            take = best_of(i, ids[j], cosine, k)
+            parts.append((part["q_id"].to_numpy()[i[take]], ids[j[take]], cosine[take]))
+    return _found(parts)
+
+
+def approx_dense_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, refine: int = REFINE, block: int | None = None) -> DataFrame:
     """Approximate cosine neighbours (q_id, vec_id, similarity, rank), similarity above zero.
 
-    ``queries`` is (q_id, vec), ``vectors`` is (vec_id, vec), both unit length. Cells are cut into blocks, and
-    the queries that look into a cell likewise, so a cell with a third of all rows becomes many tasks of
-    bounded size. An empty side gives an empty result.
+    ``queries`` is (q_id, vec), ``vectors`` is (vec_id, vec), both unit length. Cells are put together to
+    blocks of bounded size, or cut into several, and queries likewise. A task compares two blocks, scores
+    the best candidates of each query exactly where they are, and gives ``k`` a query at most. An empty
+    side gives an empty result.
     """
     spark = queries.sparkSession
     total = vectors.count()
@@ -139,32 +149,29 @@ def approx_dense_knn(queries: DataFrame, vectors: DataFrame, k: int = 10, refine
     if not len(sample):
         return spark.createDataFrame([], "q_id bigint, vec_id bigint, similarity double, rank int")
     shared = spark.sparkContext.broadcast(fit_dense(sample, total, k))  # at most MAX_CELLS centres and 256 codes a group
+    block = block or block_rows(total)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 cell, codes = encode(np.stack(batch["vec"].to_numpy()), shared.value)
-                yield pd.DataFrame({"vec_id": batch["vec_id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes]})
+                yield batch.assign(cell=cell.astype("int32"), codes=[c.tobytes() for c in codes])
+
+    coded = hold(vectors.select("vec_id", "vec").mapInPandas(index, "vec_id bigint, vec array<double>, cell int, codes binary"))
+    places = cell_blocks({r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}, block)  # a row a centre
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
             if len(batch):
-                order = np.argsort(-(np.stack(batch["vec"].to_numpy()) @ model.centers.T), axis=1, kind="stable")[:, : model.probes]
-                yield batch.assign(cells=[o.astype("int32") for o in order])
-
-    coded = hold(vectors.select("vec_id", "vec").mapInPandas(index, "vec_id bigint, cell int, codes binary"))
-    visits = hold(queries.select("q_id", "vec").mapInPandas(visit, "q_id bigint, vec array<double>, cells array<int>").select("q_id", "vec", F.explode("cells").alias("cell")))
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(name))
-    shape = blocks(coded, "blocks").join(blocks(visits, "q_blocks"), "cell")
-    left = visits.join(shape, "cell").select("q_id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("q_id"), F.col("q_blocks")).cast("int").alias("q_block"))
-    right = coded.join(shape, "cell").select("vec_id", "codes", "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
-    keys, most = ["cell", "block", "q_block"], max(1, refine * k)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _search(a, b, shared.value, most), "q_id bigint, vec_id bigint, near double")
-    best = W.partitionBy("q_id").orderBy(F.desc("near"), "vec_id")
-    chosen = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).select("q_id", "vec_id").distinct()
-    pairs = chosen.join(vectors.select("vec_id", "vec"), "vec_id").join(queries.select("q_id", F.col("vec").alias("q_vec")), "q_id")
-    exact = pairs.select("q_id", "vec_id", "q_vec", "vec").mapInPandas(_dot, "q_id bigint, vec_id bigint, cosine double")
+                seen = _seen(np.stack(batch["vec"].to_numpy()), shared.value)
+                for b in range(max(r.stop for r in places.values())):
+                    who = seen[:, [c for c, r in places.items() if b in r]].any(axis=1)
+                    if who.any():
+                        yield batch[who].assign(block=np.int32(b))
+
+    visits = queries.select("q_id", "vec").mapInPandas(visit, "q_id bigint, vec array<double>, block int")
+    parts, most = max(1, -(-queries.count() // block)), max(1, refine * k)
+    exact = meet_blocks(visits, coded, places, parts, lambda a, b: _search(a, b, shared.value, k, most), "q_id bigint, vec_id bigint, cosine double")
     order = W.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id")
     return (
         exact.select("q_id", "vec_id", round3(F.col("cosine")).alias("similarity")).filter("similarity > 0")

@@ -64,3 +64,17 @@ def test_fit_in_one_task_equals_the_fit_by_steps(spark, monkeypatch):
     stepped = learn.fit_pairwise(deltas, steps=20)
     assert one.keys() == stepped.keys() and all(abs(one[f] - stepped[f]) < 1e-9 for f in FACTORS)
     assert learn.fit_pairwise(deltas.limit(0)) == pytest.approx(dict(DEFAULT_WEIGHTS))
+
+
+def test_queries_travel_to_blocks_not_cells_and_ties_hold(spark):
+    places = vectors.cell_blocks({0: 10, 1: 5, 2: 200, 3: 1}, 64)
+    assert places == {0: range(0, 1), 1: range(0, 1), 2: range(0, 4), 3: range(3, 4)}
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(260, 6))
+    data[:90] = data[0]  # a large group of copies: ties go to the smaller id
+    units = data / np.linalg.norm(data, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(units)], "vec_id bigint, vec array<double>")
+    found = vectors.dense_knn(df.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("q_id"), "vec"), df, k=5, n_pivots=12, block=64)
+    sims = np.floor(units @ units.T * 1000 + 0.5) / 1000
+    want = {(q, int(v), n + 1) for q in range(0, 260, 7) for n, v in enumerate(np.lexsort((np.arange(260), -sims[q]))[:5]) if sims[q, v] > 0}
+    assert {(r["q_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
