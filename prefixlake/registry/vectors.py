@@ -153,7 +153,7 @@ def g3(spark, sf):
 
 @query("g4_complete_phrases")
 def g4(spark, sf):
-    done = held(spark, sf, "g4", lambda: G.complete_phrases(S.forms(spark, sf), S.model(spark, sf).phrases))
+    done = held(spark, sf, "g4", lambda: G.complete_phrases(S.forms(spark, sf), S.phrases(spark, sf)))
     return done.select("q", "rank", "text", "type", "confidence", "base")
 
 

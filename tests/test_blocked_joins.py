@@ -103,3 +103,13 @@ def test_few_pairs_reach_the_exact_test_and_none_is_lost(spark, monkeypatch):
     monkeypatch.setattr(blocking, "template_match", lambda *_: F.lit(True))
     assert match_values(forms, values).count() < 2 * len(got)
     assert blocking.fire_triggers(queries, triggers).count() < 3 * len(fired)
+
+
+def test_transitions_of_a_hot_context_are_not_brought_together(spark):
+    from prefixlake.operators.phrases import transitions
+
+    phrases = spark.range(300).select(F.array(F.lit("nguyen"), F.lit("hue"), F.col("id").cast("string")).alias("words"))
+    moves = transitions(phrases)
+    assert "Window" not in plan_of(moves)
+    got = {(r["context"], r["next"]): (r["n"], r["p"]) for r in moves.collect()}
+    assert got[("nguyen hue", "7")] == (1, 1 / 300) and got[("<s> <s>", "nguyen")] == (300, 1.0) and len(got) == 602
