@@ -111,20 +111,24 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(threshold: float):
-    """(bucket, rep, tokens, far) -> (child bucket, rep, far)."""
+    """(rep, tokens, held: buckets with far) -> (rep, children: child buckets with far), a set and its tokens once for all its buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-            rep, far = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "far"))
+            held = batch.column("held")
+            sizes = np.diff(held.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            path, far = (held.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("bucket", "far"))
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint16).reshape(-1, TOKENS)
-            nodes, inverse = np.unique(path, return_inverse=True)
+            nodes, inverse = np.unique(path.view(np.uint64), return_inverse=True)
             node, place = chosen(nodes, threshold)
             begin, end = np.searchsorted(node, inverse), np.searchsorted(node, inverse, side="right")
             many = end - begin
             row = np.repeat(np.arange(len(path)), many)
             at = place[np.repeat(begin, many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
-            child = _child(path[row], at, tokens[row, at]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(rep[row], pa.int64()), pa.array(far[row].astype(bool))], names=["bucket", "rep", "far"])
+            child = _child(path.view(np.uint64)[row], at, tokens[owner[row], at]).view(np.int64)
+            offsets = np.append(0, np.cumsum(np.bincount(owner[row], minlength=len(sizes)))).astype(np.int32)
+            children = pa.StructArray.from_arrays([pa.array(child, pa.int64()), pa.array(far[row].astype(bool))], names=["bucket", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.ListArray.from_arrays(pa.array(offsets), children)], names=["rep", "children"])
 
     return run
 
@@ -211,8 +215,9 @@ def candidate_groups(reps: DataFrame, threshold: float = THRESHOLD, depth: int =
             nearest = marked.filter("far").groupBy("bucket").agg(F.max("agree").alias("nearest"))
             # a joined set's likely partner among the far ones agrees with the pivot in at least this share
             able = F.col("far") | (F.col("nearest") >= F.col("agree") + LIKELY - 1)
-            going = marked.join(nearest, "bucket").filter(able).select("bucket", "rep", "far")
-            rows = stored(going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "bucket long, rep long, far boolean"))
+            going = marked.join(nearest, "bucket").filter(able).groupBy("rep").agg(F.collect_list(F.struct("bucket", "far")).alias("held"))
+            split = going.join(reps.select("rep", "tokens"), "rep").mapInArrow(_split(threshold), "rep long, children array<struct<bucket: bigint, far: boolean>>")
+            rows = stored(split.select("rep", F.explode("children").alias("child")).select("child.bucket", "rep", "child.far"))
     # the small buckets of all levels are compared in one step, each list of members once
     lists = reduce(DataFrame.unionByName, small_buckets).groupBy("level", "bucket").agg(F.sort_array(F.collect_list("rep")).alias("members")).select("members").distinct()
     members = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("rep")).join(reps.select("rep", "tokens"), "rep")

@@ -76,3 +76,42 @@ def test_hot_names_meet_their_rows_by_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 100), ("b", 101), ("c", 102), (None, 103)], "k string, i int")
     out = block_names.joined(rows, names, ["k"], "many").collect()
     assert {(r["i"], r["name"]) for r in out} == {(i, 1) for i in range(100)} | {(100, 2), (101, 2), (102, None), (103, None)} and len(out) == 104
+
+
+def test_a_set_is_split_once_for_all_its_buckets():
+    """One row a set comes out, with the children of all its buckets; each child keeps its bucket's mark."""
+    rng, buckets = np.random.default_rng(4), [[11, 22, 33], [22], []]
+    tokens = rng.integers(0, 60000, (3, chosen_path.TOKENS)).astype(np.uint16)
+    held = pa.array([[{"bucket": b, "far": b == 22} for b in x] for x in buckets], pa.list_(pa.struct([("bucket", pa.int64()), ("far", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([t.tobytes() for t in tokens], pa.binary()), held], names=["rep", "tokens", "held"])
+    (out,) = chosen_path._split(0.05)([batch])
+    assert out.column("rep").to_pylist() == [5, 6, 7]
+    for i, children in enumerate(out.column("children").to_pylist()):
+        want = set()
+        for b in buckets[i]:
+            path = np.array([b], dtype=np.uint64)
+            _, place = chosen_path.chosen(path, 0.05)
+            want |= {(int(c), b == 22) for c in chosen_path._child(path, place, tokens[i, place]).view(np.int64)}
+        assert {(c["bucket"], c["far"]) for c in children} == want and len(children) == len(want)
+        assert not buckets[i] or children
+
+
+def test_rows_that_go_on_grow_with_the_sets_of_a_group_not_with_their_square(spark, monkeypatch):
+    """All sets share a third of their tokens, so they stay in large buckets without being partners."""
+    rng, stored, made = np.random.default_rng(5), chosen_path.stored, []
+    sets = rng.integers(0, 60000, (160, chosen_path.TOKENS)).astype(np.uint16)
+    sets[:, :43] = np.arange(43)
+
+    def counted(df):
+        out = stored(df)
+        if out.columns == ["bucket", "rep", "far"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stored", counted)
+    totals = []
+    for n in (80, 160):
+        made.clear()
+        assert not any(len(g) > 1 for g in _groups(spark, list(sets[:n]), buckets=20, small=8))
+        totals.append(sum(made))
+    assert 0 < totals[0] < totals[1] <= 2.5 * totals[0]
