@@ -1,8 +1,10 @@
 """Cases that once were cut off, tied or crashed."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from prefixlake.operators import places
+from prefixlake.operators import entities, places
 from prefixlake.operators.cities import city_mentions
 from prefixlake.operators.patterns import generated_corpus
 from prefixlake.operators.understand import expand_queries
@@ -94,3 +96,26 @@ def test_live_profiles_with_a_late_batch(spark):
     newest = rows.groupBy("user_key").agg(F.max("version").alias("version"))
     got = sorted((r["term"], round(r["weight"], 6)) for r in rows.join(newest, ["user_key", "version"]).collect())
     assert got == [("alpha", 2.0), ("bravo", 1.0), ("charlie", 1.0)]
+
+
+def test_later_place_names_meet_only_queries_that_have_too_few(spark, monkeypatch):
+    """Names of the first rows meet all queries; the entities are those of a join with all names, streets and brands."""
+    kinds = [("Quán cà phê", "Cafe"), ("ATM", "ATM"), ("Chợ", "Chợ")]
+    pois = [(f"P{i}", f"{kinds[i % 3][1]} {'Nguyễn Huệ' if i % 2 else 'Lê Lợi'} {i}", kinds[i % 3][0], "Vinmart" if i == 55 else "", f"{i} Trần Phú, Huế", "Huế", i) for i in range(60)]
+    pois.append(("P60", "Sân bay Phú Bài", "Sân bay", "", "1 Bạch Đằng, Huế", "Huế", 60))
+    table = spark.createDataFrame(pois, "poi_id string, poi_name string, category string, brand string, address string, city string, row_ord bigint")
+    catalog = SimpleNamespace(pois=table)
+    asked = ["atm", "cafe", "cho", "san bay", "vinm", "vinmart", "bach dang", "nguyen hue", "zzz"]
+    forms = spark.createDataFrame([(q, q, q, q.split(), []) for q in asked], "q string, norm string, expanded string, tokens array<string>, expansions array<string>")
+    rows = lambda: sorted(map(tuple, entities.extract_entities(forms, catalog, 3).collect()))
+    want, met, fire = rows(), [], entities.fire_triggers
+
+    def counted(queries, triggers, *rest):
+        met.append(({r[0] for r in queries.select("query").collect()}, triggers.select("trigger").distinct().count()))
+        return fire(queries, triggers, *rest)
+
+    monkeypatch.setattr(entities, "fire_triggers", counted)
+    monkeypatch.setattr(entities, "FIRST_NAMES", 12)
+    assert rows() == want and {"san bay", "vinmart"} <= {r[0] for r in want}
+    assert len(met) == 2 and len(met[0][0]) == len(asked) and met[1][0] < met[0][0]
+    assert not any("atm" in q or "cafe" in q for q in met[1][0]) and any("san bay" in q for q in met[1][0])
