@@ -113,3 +113,24 @@ def test_transitions_of_a_hot_context_are_not_brought_together(spark):
     assert "Window" not in plan_of(moves)
     got = {(r["context"], r["next"]): (r["n"], r["p"]) for r in moves.collect()}
     assert got[("nguyen hue", "7")] == (1, 1 / 300) and got[("<s> <s>", "nguyen")] == (300, 1.0) and len(got) == 602
+
+
+def test_keyword_hits_are_summed_where_the_places_are(spark):
+    from prefixlake.operators.places import keyword_search
+
+    rows = [(f"p{i}", f"Quán cà phê {i}" if i % 3 else "Phở", "Highlands" if i % 2 else None, "Quán cà phê", f"{i} Lê Lợi", "Huế", ["wifi", "ca phe"], 50 + i % 40) for i in range(200)]
+    pois = spark.createDataFrame(rows, "poi_id string, poi_name string, brand string, category string, address string, city string, tags array<string>, popularity_score int")
+    forms = spark.createDataFrame([("cf 1", "cf 1", "ca phe 1"), ("ph", "ph", "pho"), ("zz", "zz", "zz")], "q string, norm string, expanded string")
+    found = keyword_search(forms, pois)
+    # neither signatures nor texts of places are joined by a shuffle
+    assert "SortMergeJoin" not in plan_of(found)
+    want = {}
+    for poi_id, name, brand, category, address, city, tags, popularity in rows:
+        name, brand, category = ({"Phở": "pho", None: "", "Highlands": "highlands", "Quán cà phê": "quan ca phe"}.get(v) or v.replace("Quán cà phê", "quan ca phe") if v else "" for v in (name, brand, category))
+        hay = " ".join(x for x in (name, brand, category, address.replace("Lê Lợi", "le loi"), "hue", *tags) if x)
+        for q, terms in (("cf 1", {"cf", "cf 1", "ca", "phe", "ca phe 1"}), ("ph", {"ph", "pho"}), ("zz", {"zz"})):
+            hits = [t for t in terms if t in hay]
+            if hits:
+                raw = sum(0.45 * (t in name) + 0.35 * (t in brand) + 0.3 * (t in category) + 0.15 for t in hits)
+                want[q, poi_id] = max(popularity / 100, round(raw + 1e-9, 3))
+    assert {(r.q, r.poi_id): round(r.score, 6) for r in found.collect()} == {k: round(v, 6) for k, v in want.items()}
