@@ -1,5 +1,7 @@
 """Joins whose right side an estimate takes for small, at sizes where it is not."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from prefixlake.operators.blocking import match_values, signature_join
@@ -134,3 +136,15 @@ def test_keyword_hits_are_summed_where_the_places_are(spark):
                 raw = sum(0.45 * (t in name) + 0.35 * (t in brand) + 0.3 * (t in category) + 0.15 for t in hits)
                 want[q, poi_id] = max(popularity / 100, round(raw + 1e-9, 3))
     assert {(r.q, r.poi_id): round(r.score, 6) for r in found.collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_places_of_a_crowded_cell_stay_in_their_tasks(spark):
+    from prefixlake.operators.corridor import along_route
+
+    routes = spark.createDataFrame([("a", 0, 10.0, 104.0), ("a", 1, 10.4, 104.4), ("b", 0, 12.0, 106.0), ("b", 1, 12.5, 106.0)], "route_id string, seq int, lat double, lon double")
+    places = spark.range(400).select(F.format_string("p%03d", "id").alias("poi_id"), (10.2 + F.col("id") % 7 / 1000).alias("latitude"), (104.2 + F.col("id") % 5 / 1000).alias("longitude"))
+    found = along_route(routes, places, 2000.0, 500)
+    # dealt by id before they meet the routes, not by cell, and summed there
+    plan = plan_of(found)
+    assert "hashpartitioning(poi_id" in plan and not re.search(r"hashpartitioning\((band|cell|route_id#\d+, poi_id)", plan)
+    assert [(r.route_id, r.poi_id, r["rank"]) for r in sorted(found.collect(), key=lambda r: r["rank"])] == [("a", f"p{i:03d}", i + 1) for i in range(400)]
