@@ -116,12 +116,13 @@ def from_pairs(requests: DataFrame, catalog: Catalog) -> DataFrame:
         F.col("suggestion_id").alias("key"), F.posexplode(F.array("input_prefix", "suggestion_text")).alias("pos", "value")
     )
     hits = _field_hits(requests, fields).withColumn("hits", F.filter("hits", lambda x: x["full"])).filter("size(hits) > 0")
-    joined = hits.join(pairs.withColumnRenamed("suggestion_id", "key"), "key")
-    prefix = normalize_text(F.col("input_prefix"))
-    exact = prefix_phrase_match(prefix, F.col("norm")) | prefix_phrase_match(prefix, F.col("expanded"))
-    nearby = F.col("norm").rlike("(^| )gan( (day|nhat))?$") & has_any(
-        normalize_text(F.col("suggestion_text")), ["gan day", "gan nhat"]
-    )
+    # a pair is normalized once, not once for each query it answers
+    spelled = pairs.withColumnRenamed("suggestion_id", "key").withColumns({
+        "prefix": normalize_text(F.col("input_prefix")), "says_near": has_any(normalize_text(F.col("suggestion_text")), ["gan day", "gan nhat"]),
+    })
+    joined = hits.join(spelled, "key")
+    exact = prefix_phrase_match(F.col("prefix"), F.col("norm")) | prefix_phrase_match(F.col("prefix"), F.col("expanded"))
+    nearby = F.col("norm").rlike("(^| )gan( (day|nhat))?$") & F.col("says_near")
     per_query = joined.select(
         "q", "key", "suggestion_text", "suggestion_type", "query_frequency", "row_ord", nearby.alias("nearby"),
         F.transform("hits", lambda x: x["value"]).alias("matched"),

@@ -148,3 +148,13 @@ def test_places_of_a_crowded_cell_stay_in_their_tasks(spark):
     plan = plan_of(found)
     assert "hashpartitioning(poi_id" in plan and not re.search(r"hashpartitioning\((band|cell|route_id#\d+, poi_id)", plan)
     assert [(r.route_id, r.poi_id, r["rank"]) for r in sorted(found.collect(), key=lambda r: r["rank"])] == [("a", f"p{i:03d}", i + 1) for i in range(400)]
+
+
+def test_a_pair_is_normalized_before_it_meets_queries(spark, mini):
+    from prefixlake.operators.retrieve import from_pairs
+
+    schema = "request_id string, q string, norm string, expanded string, tokens array<string>, expansions array<string>, city string, lat double, lon double"
+    asked = spark.createDataFrame([("r", "ca phe", "ca phe", "ca phe", ["ca", "phe"], [], None, None, None)], schema)
+    lines = from_pairs(asked, mini)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [i for i, line in enumerate(lines) if " AS says_near" in line]
+    assert made and made[0] > next(i for i, line in enumerate(lines) if "Join" in line)
