@@ -158,3 +158,17 @@ def test_a_pair_is_normalized_before_it_meets_queries(spark, mini):
     lines = from_pairs(asked, mini)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     made = [i for i, line in enumerate(lines) if " AS says_near" in line]
     assert made and made[0] > next(i for i, line in enumerate(lines) if "Join" in line)
+
+
+def test_places_that_show_the_same_words_are_scored_once(spark):
+    from prefixlake.operators.places import geocode
+
+    streets, cities = ["Lê Lợi", "Trần Phú", "Hùng Vương"], ["Huế", "Đà Lạt"]
+    rows = [(f"p{i:03d}" if i % 50 else None, f"Phở {i}", "Nhà hàng", None, f"{i % 9} {streets[i % 3]}", cities[i % 2], 10.0, 106.0, 50 + i % 7) for i in range(150)]
+    rows += rows[10:14]
+    pois = spark.createDataFrame(rows, "poi_id string, poi_name string, category string, brand string, address string, city string, latitude double, longitude double, popularity_score int")
+    asked = spark.createDataFrame([(1, "5 Lê Lợi", "Huế"), (2, "Trần Phú", None), (3, "7", None), (4, "12 Phở Phở", "Đà Lạt"), (5, "", None), (6, "xyz", None), (7, "Trần Phú", None)], "request_id int, address string, city string")
+    far = asked.withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double"))
+    found = geocode(asked, pois, 5)
+    got, want = (sorted(map(str, df.collect())) for df in (found, geocode(far, pois, 5)))
+    assert got == want and len(got) >= 25
