@@ -97,6 +97,13 @@ def test_search_takes_twelve_suggestions_and_all_keyword_hits_of_every_request(s
     assert found >= {1, 2, 4, 5} and found <= {r[0] for r in ROWS}
 
 
-def test_union_takes_all_sources(ask):
-    sources = {r.source for r in ask("d9_union_candidates")}
-    assert sources >= {"autocomplete", "poi", "popular-query", "template", "semantic", "generated", "predicted"}
+def test_union_takes_all_sources(spark, mini, monkeypatch):
+    asked = [(1, "cafe"), (2, "ca phe wifi da nang"), (3, "vin"), (4, "")]
+    rows = spark.createDataFrame([(*r, None, None, None, None, 1) for r in asked], "request_id bigint, q string, city string, lat double, lon double, now string, cust bigint")
+    monkeypatch.setattr(S, "catalog", lambda *_: mini)
+    monkeypatch.setattr(S, "requests", lambda *_: rows)
+    got = all_queries()["d9_union_candidates"](spark, uuid.uuid4().hex).collect()
+    # before, no source beyond these four
+    assert len({r.source for r in got} - {"autocomplete", "poi", "popular-query", "template"}) >= 2
+    # without a query the popular rows alone
+    assert {r.source for r in got if r.request_id == 4} == {"popular-query"}
